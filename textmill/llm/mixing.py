@@ -84,7 +84,8 @@ def pivot(size: list[int], p: list[float], u: list[float], last: bool) -> tuple[
 
 def _level(seed: int, level: int, last: bool):
     def play(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["doc_id", "size", "p"], kind="stable", na_position="first")
+        # large documents first, so the one left at the end is small
+        block = block.sort_values(["size", "doc_id", "p"], ascending=[False, True, True], kind="stable", na_position="first")
         u = _uniform(block["doc_id"].fillna(-1).to_numpy(), seed * 64 + level)
         p, left = pivot(block["size"].tolist(), block["p"].tolist(), u.tolist(), last)
         block["p"] = p
