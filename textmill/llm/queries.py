@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textmill.llm.decontaminate import contaminated
 from textmill.llm.html_extract import extract_pages
+from textmill.llm.license_scan import scan_licenses
+from textmill.llm.line_dedup import dedup_lines
 from textmill.llm.mixing import mix
+from textmill.llm.quality_model import classify
 from textmill.llm.quality_rules import quality_rules
 
 
@@ -27,6 +32,25 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents")).drop("class_distance", "common_distance")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix, op6_html_extract, op7_quality_rules)}
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines_removed").cast("long").alias("n_removed"), F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("kept_md5"))
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(_read(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_mix, op2_decontaminate, op6_html_extract, op7_quality_rules, op8_line_dedup, op9_quality_model, op10_license_scan)
+}
 
 ORACLE_SQL: dict[str, str] = {}
