@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.llm.decontaminate import contaminated
 from textmill.llm.html_extract import extract_pages
+from textmill.llm.jaccard_join import jaccard_components
 from textmill.llm.license_scan import scan_licenses
 from textmill.llm.line_dedup import dedup_lines
 from textmill.llm.mixing import mix
@@ -24,6 +25,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_read(spark, sf_dir, "pages"))
 
@@ -50,7 +55,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_decontaminate, op6_html_extract, op7_quality_rules, op8_line_dedup, op9_quality_model, op10_license_scan)
+    f.__name__: f for f in (op1_mix, op2_decontaminate, op4_jaccard_join, op6_html_extract, op7_quality_rules, op8_line_dedup, op9_quality_model, op10_license_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {}
