@@ -13,6 +13,7 @@ from textmill.llm.jaccard_join import jaccard_components
 from textmill.llm.license_scan import scan_licenses
 from textmill.llm.line_dedup import dedup_lines
 from textmill.llm.mixing import mix
+from textmill.llm.ngram_lm import score_held_out
 from textmill.llm.quality_model import classify
 from textmill.llm.quality_rules import quality_rules
 
@@ -25,6 +26,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(_read(spark, sf_dir, "documents")).drop("perplexity")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_decontaminate, op4_jaccard_join, op6_html_extract, op7_quality_rules, op8_line_dedup, op9_quality_model, op10_license_scan)
+    f.__name__: f for f in (op1_mix, op2_decontaminate, op3_ngram_lm, op4_jaccard_join, op6_html_extract, op7_quality_rules, op8_line_dedup, op9_quality_model, op10_license_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {}
