@@ -40,7 +40,7 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _STRIP = b".,;:!?\"'()"
 
-FEATURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>"
+FEATURES = "doc_id long, copy long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>"
 
 
 def _repeats(text: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -115,15 +115,15 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = measure(batch.column(batch.schema.get_field_index("text")))
         lists = {k: pa.ListArray.from_arrays(np.arange(0, m[k].size + 1, m[k].shape[1], dtype=np.int32), pa.array(m[k].ravel(), pa.int64())) for k in ("classes", "common")}
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), *(pa.array(m[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), lists["classes"], lists["common"]],
-            names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common"],
+            [*batch.columns[:3], *(pa.array(m[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), lists["classes"], lists["common"]],
+            names=["doc_id", "copy", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "classes", "common"],
         )
 
 
 def features(docs: DataFrame) -> DataFrame:
     """One row per document: the base counts and both histograms; one pass over the whole texts."""
     ready(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.col("text")).mapInArrow(_measured, FEATURES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_measured, FEATURES)
 
 
 def _sum(counts: str) -> F.Column:
@@ -144,8 +144,8 @@ def js_distance(counts: str, ref: str) -> F.Column:
     return F.when((total > 0) & F.col(ref).isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(term, F.lit(0.0), lambda a, x: a + x))))
 
 
-def quality_rules(docs: DataFrame, max_distance: float = 0.3, both: tuple[float, float] = (0.125, 0.3), min_chars: int = 300, min_words: int = 100) -> DataFrame:
-    """doc_id, the base counts, base_failed, class_distance, common_distance and kept for every document.
+def verdicts(docs: DataFrame, max_distance: float = 0.3, both: tuple[float, float] = (0.125, 0.3), min_chars: int = 300, min_words: int = 100) -> DataFrame:
+    """doc_id, copy (a hash of the text), the base counts, base_failed, kept, class_distance and common_distance of every document.
 
     Rejected are a class distance over max_distance, judged from min_chars characters on, and a class distance together with
     a common-word distance over `both`, judged from min_words words on. The features are written once to the shared folder,
@@ -156,4 +156,15 @@ def quality_rules(docs: DataFrame, max_distance: float = 0.3, both: tuple[float,
     far = measured.join(references(measured), "lang", "left").withColumns({"class_distance": js_distance("classes", "ref_classes"), "common_distance": js_distance("common", "ref_common")})
     classes, common = (F.coalesce(f"{c}_distance", F.lit(0.0)) for c in ("class", "common"))
     odd = (F.col("classes_sum") >= min_chars) & (classes > max_distance) | (F.col("n_words") >= min_words) & (classes > both[0]) & (common > both[1])
-    return far.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "class_distance", "common_distance")
+    return far.select("doc_id", "copy", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "class_distance", "common_distance")
+
+
+def quality_rules(docs: DataFrame, **limits) -> DataFrame:
+    """verdicts() without the hash of the text."""
+    return verdicts(docs, **limits).drop("copy")
+
+
+def kept_documents(docs: DataFrame, **limits) -> DataFrame:
+    """docs without the documents that the rules reject."""
+    bad = verdicts(docs, **limits).where("not kept").select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__doc"]) & (F.xxhash64(docs["text"]) == bad["__copy"]), "left_anti")

@@ -16,6 +16,7 @@ from textmill.llm.mixing import mix
 from textmill.llm.ngram_lm import score_held_out
 from textmill.llm.quality_model import classify
 from textmill.llm.quality_rules import quality_rules
+from textmill.llm.suffix_dedup import dedup_suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +35,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_suffixes(_read(spark, sf_dir, "documents"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_read(spark, sf_dir, "pages"))
 
@@ -60,7 +65,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix, op2_decontaminate, op3_ngram_lm, op4_jaccard_join, op6_html_extract, op7_quality_rules, op8_line_dedup, op9_quality_model, op10_license_scan)
+    f.__name__: f for f in (op1_mix, op2_decontaminate, op3_ngram_lm, op4_jaccard_join, op5_suffix_dedup, op6_html_extract, op7_quality_rules, op8_line_dedup, op9_quality_model, op10_license_scan)
 }
 
 ORACLE_SQL: dict[str, str] = {}
