@@ -6,26 +6,51 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textmill.llm.mixing import mixed_rows
-from textmill.llm.quality_rules import quality_rules
 from textmill.llm._shared import shared_dir
+from textmill.llm.decontaminate import decontaminated
+from textmill.llm.jaccard_join import one_of_each
+from textmill.llm.line_dedup import dedup_lines
+from textmill.llm.mixing import mixed_rows
+from textmill.llm.quality_rules import kept_documents
 
 
-def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return kept_documents(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of repeated line runs; one that loses all its words goes."""
+    out = dedup_lines(docs).where("n_lines_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return out.withColumn("n_chars", F.when(F.col("n_lines_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by n-gram Jaccard similarity."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document as often as it has copies."""
     return mixed_rows(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", apply_quality_rules), ("mixing", mix_sources)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
 
-#: SQL can't express these stages; tests hold them against brute force.
+#: SQL can't express the MinHash, SimHash and rounding stages; tests hold each stage against brute force.
 ORACLE_SQL: str | None = None
 
 
