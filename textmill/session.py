@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -26,5 +30,15 @@ def session(name: str = "textmill", master: str | None = None, shuffle_partition
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers once, as a cluster may not have it installed."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_textmill_sent", False):
+        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/textmill", "zip", top, "textmill"))
+        sc._textmill_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
