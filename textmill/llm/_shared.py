@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -11,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.session import ship
+
 #: The word rule of all operators here.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,15 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ready(spark: SparkSession, rows: int = 1000) -> None:
-    """Sends this package to the workers once, as a cluster may not have it installed.
-
-    Texts can be long, so Arrow batches get fewer rows than Spark's default.
-    """
-    sc = spark.sparkContext
-    if not getattr(sc, "_textmill_sent", False):
-        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/textmill", "zip", top, "textmill"))
-        sc._textmill_sent = True
+    """Sends this package to the workers once; texts can be long, so Arrow batches get fewer rows than Spark's default."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
