@@ -20,8 +20,9 @@ def unique_key(bank: DataFrame, key: str) -> DataFrame:
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """A join that fails, when it runs, if a key stands twice on the right; rows of the left keep their number."""
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    checked = right.withColumn("__n", n).withColumn("__n", F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("duplicate key: "), *(F.col(k).cast("string") for k in keys)))).otherwise(F.col("__n")))
-    return left.join(checked, keys, how).drop("__n")
+    fail = F.raise_error(F.concat(F.lit("duplicate key: "), *(F.col(k).cast("string") for k in keys))).cast("boolean")
+    checked = right.withColumn("__n", n).where(F.when(F.col("__n") > 1, fail).otherwise(F.lit(True))).drop("__n")
+    return left.join(checked, keys, how)
 
 
 def exact_or_alias(df: DataFrame, bank: DataFrame, key: str, alias: str, value: list[str]) -> DataFrame:

@@ -27,7 +27,7 @@ def subject_of(file: Column) -> Column:
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """Vendor JSON lines with source_file, source_line (from 1) and subject from the file's name. A file is one row while its lines are numbered."""
-    whole = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
     lines = whole.select("source_file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).where(F.trim("line") != "")
     parsed = lines.select("source_file", (F.col("at") + 1).alias("source_line"), F.from_json("line", RAW, {"mode": "FAILFAST"}).alias("r"))
     return parsed.select("r.*", "source_file", "source_line", subject_of(F.col("source_file")).alias("subject"))
@@ -86,7 +86,7 @@ def read_verified(spark: SparkSession, paths: list[str], sha256: str) -> str:
 
 def read_json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """(key, value) of a JSON document that maps keys to structs, gzip or not."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
 
