@@ -14,6 +14,7 @@ from textmill.llm.license_scan import scan_licenses
 from textmill.llm.line_dedup import dedup_lines
 from textmill.llm.mixing import mix
 from textmill.llm.ngram_lm import score_held_out
+from textmill.llm.oracles import ORACLE_SQL as ORACLE_SQL
 from textmill.llm.quality_model import classify
 from textmill.llm.quality_rules import quality_rules
 from textmill.llm.suffix_dedup import dedup_suffixes
@@ -48,7 +49,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("distance")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +69,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mix, op2_decontaminate, op3_ngram_lm, op4_jaccard_join, op5_suffix_dedup, op6_html_extract, op7_quality_rules, op8_line_dedup, op9_quality_model, op10_license_scan)
 }
 
-ORACLE_SQL: dict[str, str] = {}
