@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,19 +61,54 @@ def sparse_top_k(queries: DataFrame, docs: DataFrame, q: str, d: str, k: int, mo
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def dense_top_k(queries: DataFrame, docs: DataFrame, vector: str, q: str, d: str, k: int) -> DataFrame:
-    """(q, d, score, rank): exact nearest neighbours by cosine of a stated query set against all rows.
+def dense_top_k(queries: DataFrame, docs: DataFrame, vector: str, q: str, d: str, k: int, block: int = 10_000, decimals: int = 6) -> DataFrame:
+    """(q, d, score, rank): exact nearest neighbours by cosine of a stated query set against all rows, itself left out.
 
-    The queries are packed into one row per block of 256 and every block meets every document, so no pair is a row before its
-    score is known to be among the document partition's candidates.
+    The queries go out in blocks of `block` vectors, which bounds what is broadcast; each task keeps the k best of every
+    query in a block, so a block leaves k rows a query and task. Scores are rounded, ties go to the smaller id.
     """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double") / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))))
-    own = queries.select(F.col(queries.columns[0]).alias(q), F.col(vector).alias("__q"))
-    all_ = docs.select(F.col(docs.columns[0]).alias(d), F.col(vector).alias("__d"))
-    pairs = F.broadcast(own).crossJoin(all_).where(F.col(q) != F.col(d))  # a stated query set against all rows
-    scored = pairs.select(q, d, S.cosine(F.col("__q"), F.col("__d")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(q).orderBy(F.desc("score"), d))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    from textmill.session import ship
+
+    spark = docs.sparkSession
+    ship(spark)
+    first, key = queries.columns[0], docs.columns[0]
+    blocks = max(1, -(-queries.count() // block))
+    parts = []
+    for i in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64(first), F.lit(blocks)) == i).select(first, vector).collect()
+        if not rows:
+            continue
+        sent = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), _unit(np.array([r[1] for r in rows], np.float64))))
+        parts.append(docs.select(F.col(key).cast("long").alias("d"), F.col(vector).alias("v")).mapInPandas(_nearest(sent, k, decimals), "q long, d long, score double"))
+    if not parts:
+        return spark.createDataFrame([], f"{q} long, {d} long, score double, rank int")
+    out = reduce(DataFrame.unionByName, parts)
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(q), F.col("d").alias(d), "score", "rank")
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _nearest(sent, k: int, decimals: int):
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = sent.value
+        score, found = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                some = batch.iloc[at : at + 512]
+                own = some["d"].to_numpy(np.int64)
+                new = np.round(vectors @ _unit(np.array(some["v"].tolist(), np.float64)).T, decimals)
+                new[ids[:, None] == own[None, :]] = -np.inf
+                score, found = np.hstack([score, new]), np.hstack([found, np.broadcast_to(own, new.shape)])
+                best = np.lexsort((found, -score), axis=1)[:, :k]
+                score, found = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
+        ok = np.isfinite(score)
+        yield pd.DataFrame({"q": np.broadcast_to(ids[:, None], score.shape)[ok], "d": found[ok], "score": score[ok]})
+
+    return nearest
 
 
 def margins(ranked: DataFrame, q: str) -> DataFrame:

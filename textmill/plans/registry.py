@@ -353,11 +353,7 @@ def sql_naive_bayes(spark, d):
 SELECT q, max(CASE WHEN rank = 1 THEN vec_id END) AS vec_id, max(CASE WHEN rank = 1 THEN score END) AS score, round(max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END), 5) AS margin FROM r WHERE rank <= 2 GROUP BY q""")
 def knn_embeddings_top2_margin(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    from pyspark.sql import Window
-
-    q = F.broadcast(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("a")))
-    s = e.crossJoin(q).where("q <> vec_id").select("q", "vec_id", F.round(S.cosine(F.col("a"), F.col("embedding")), 6).alias("score"))  # a stated query set against all rows
-    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where("rank <= 2")
+    r = vectorize.dense_top_k(e.where("vec_id % 100 = 0"), e, "embedding", "q", "vec_id", 2)
     return vectorize.margins(r, "q").select("q", "best.vec_id", "best.score", F.round("margin", 5).alias("margin"))
 
 
