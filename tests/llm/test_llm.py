@@ -72,6 +72,13 @@ def test_targets_are_capped_and_reshared(spark):
     assert t == {"a": 30.0, "b": 30.0, "c": 300.0, None: 640.0}
 
 
+def test_targets_of_equal_sources(spark):
+    s = spark.createDataFrame([("a", 100), ("b", 200), ("c", 300), ("d", 5)], "source string, source_size long")
+    t = {r["source"]: r["target"] for r in mixing.targets(s).collect()}
+    # weights 1 2 3 1 of 605: a, b and c have one ratio of size to weight; d stops at 15
+    assert t["d"] == 15.0 and all(abs(t[k] - 590 * w / 6) < 1e-9 for k, w in (("a", 1), ("b", 2), ("c", 3)))
+
+
 def test_pivot_keeps_words_and_expectation():
     rng = random.Random(0)
     size, p = [3, 5, 8, 2, 7], [0.2, 0.7, 0.5, 0.9, 0.4]

@@ -43,8 +43,8 @@ def targets(sources: DataFrame, cap: float = 3.0, weights: tuple[float, ...] = (
     after = fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     rest = F.sum("source_size").over(everything) - F.coalesce(F.sum(cap * F.col("source_size")).over(before), F.lit(0.0))
     share = rest / F.sum("weight").over(after)
-    out = weighed.withColumn("share", share).withColumn("capped", F.col("share") * F.col("weight") > cap * F.col("source_size"))
-    level = F.min(F.when(~F.col("capped"), F.struct((F.col("source_size") / F.col("weight")).alias("k"), F.col("share").alias("share")))).over(everything)["share"]
+    out = weighed.withColumn("share", share).withColumn("place", F.row_number().over(fill)).withColumn("capped", F.col("share") * F.col("weight") > cap * F.col("source_size"))
+    level = F.min(F.when(~F.col("capped"), F.struct("place", "share"))).over(everything)["share"]
     return out.select("source", "source_size", F.when(F.col("capped"), cap * F.col("source_size")).otherwise(F.coalesce(level, F.lit(0.0)) * F.col("weight")).cast("double").alias("target"))
 
 
