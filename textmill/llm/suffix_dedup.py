@@ -38,8 +38,10 @@ GRAM = 20
 WINDOW = SIZE - GRAM + 1
 HOT = 20_000
 FIRST = -(2**63)
-FLUSH = 1_500_000
-CONTEXT_BYTES = 24 << 20
+FLUSH = 600_000
+CONTEXT_BYTES = 6 << 20
+#: Buckets per shuffle partition: a bucket is what a worker holds at once.
+SPLIT = 4
 CHAIN = 7
 _STEP = [U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -284,10 +286,8 @@ def _contexts(buckets: int, hot_keys):
 
         def flush() -> pa.RecordBatch:
             nonlocal turn
-            doc, first, length, key = (np.concatenate([h[k] for h in held]) for k in range(4))
-            data = np.concatenate([h[4] for h in held])
+            doc, first, length, key, content, data = (np.concatenate(h) for h in zip(*held, strict=True))
             at = np.cumsum(length) - length
-            content = spans_hash(data, at, at + length)
             order = np.lexsort((first, doc, content))
             new = np.append(True, content[order][1:] != content[order][:-1])
             owner = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -303,7 +303,7 @@ def _contexts(buckets: int, hot_keys):
                 rows.append((b, False, _pack(doc[k], first[k], length[k], data[inside])))
             return _batch(rows)
 
-        for batch in batches:
+        for batch in chunks(batches, "text", 1 << 19):
             t = Texts(batch.column(1))
             ids = np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
             codes = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
@@ -324,7 +324,9 @@ def _contexts(buckets: int, hot_keys):
                 length = np.where(hot[of], SIZE, length[of])
                 key = np.where(hot[of], mix(spans_hash(t.data, first, np.minimum(first + SIZE, len(t.data)))), key[of])
             inside = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
-            held.append((ids[text], first - t.off[text], length, key, t.data[inside]))
+            own = t.data[inside]
+            at = np.cumsum(length) - length
+            held.append((ids[text], first - t.off[text], length, key, spans_hash(own, at, at + length), own))
             size += len(inside)
             if size >= CONTEXT_BYTES:
                 yield flush()
@@ -380,7 +382,7 @@ def dedup_suffixes(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; `kept`, the bytes that are left, if asked for."""
     spark = docs.sparkSession
     ready(spark)
-    buckets = partitions(spark)
+    buckets = SPLIT * partitions(spark)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     digests = docs.where(F.octet_length("text") >= SIZE).select("doc_id", F.unhex(F.md5("text")).alias("digest"))
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
