@@ -278,7 +278,8 @@ def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _linked(docs: DataFrame, work: DataFrame) -> DataFrame:
     """(src, dst) from the trees of work, (task, node, digest, label); the texts are fetched by doc_id."""
-    texts = docs.join(work, F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST)) == work["node"]).select("task", "node", "digest", "label", docs["text"])
+    # always the same join: the work grows with the input, so it must not depend on its size
+    texts = docs.join(work.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST)) == work["node"]).select("task", "node", "digest", "label", docs["text"])
     return texts.repartition("task").sortWithinPartitions("task").mapInPandas(_resolve, "src long, dst long").where("src <> dst")
 
 
