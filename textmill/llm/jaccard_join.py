@@ -124,16 +124,27 @@ def _scan(buckets: int):
 
 
 def _roots(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Star edges between the sets of a bucket that share a key."""
+    """Edges between sets of a bucket that share a key, thinned to one from each set to the smallest of those it is connected with."""
     k = np.concatenate([np.frombuffer(x, U, len(x) // 16) for x in bucket["packed"]])
     i = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in bucket["packed"]])
+    ids, i = np.unique(i, return_inverse=True)
     order = np.lexsort((i, k))
     k, i = k[order], i[order]
     first = np.append(True, k[1:] != k[:-1])
     hub = i[np.flatnonzero(first)][np.cumsum(first) - 1]
-    other = hub != i
-    edges = np.unique(np.stack([hub[other], i[other]], 1), axis=0)
-    return pd.DataFrame({"src": edges[:, 0], "dst": edges[:, 1]})
+    hub, i = hub[hub != i], i[hub != i]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[hub], label[i])
+        new = label.copy()
+        np.minimum.at(new, hub, low)
+        np.minimum.at(new, i, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    return pd.DataFrame({"src": ids[label[own]], "dst": ids[own]})
 
 
 class Forest:
