@@ -35,7 +35,9 @@ from textmill.llm._shared import dropped, partitions, ready, shared_dir, written
 
 ORDER = 2
 BEGIN, END = U(0x0B0B0B0B0B0B0B0B), U(0x0E0E0E0E0E0E0E0E)
-FLUSH = 3_000_000
+FLUSH = 1_500_000
+#: Buckets per shuffle partition: a bucket is what a worker holds at once when it counts.
+SPLIT = 4
 STAGE = "kind int, bucket int, packed binary"
 NEXT, CONTEXT, STATS = 0, 1, 2
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -290,7 +292,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     """A model of the texts of a one-column DataFrame (text)."""
     spark = texts.sparkSession
     ready(spark)
-    buckets = partitions(spark)
+    buckets = SPLIT * partitions(spark)
     uri = f"{shared_dir(spark)}/ngram/{uuid.uuid4().hex}"
     stage = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(order, buckets), STAGE)
     discounts, stats, old = {}, [0] * 8, None
@@ -310,7 +312,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
 
 def _scored(model: Model):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text", 1 << 22):
+        for batch in chunks(batches, "text"):
             off, words = tokens(Texts(batch.column(2)))
             plain, base, p = model.score(off, words)
             total = lambda x: pa.array(np.add.reduceat(x, off[:-1]))
