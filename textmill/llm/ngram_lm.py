@@ -180,7 +180,7 @@ def _load(uri: str) -> dict[str, np.ndarray] | None:
                 pa.fs.copy_files(path, local, source_filesystem=fs, destination_filesystem=pa.fs.LocalFileSystem())
                 path = local
             table = pa.ipc.open_file(pa.memory_map(path)).read_all()
-            _maps[uri] = {k: table.column(k).combine_chunks().to_numpy(zero_copy_only=True) if table.column(k).num_chunks == 1 else table.column(k).to_numpy() for k in table.column_names}
+            _maps[uri] = {k: table.column(k).chunk(0).to_numpy() if table.num_rows else np.zeros(0, U) for k in table.column_names}
     return _maps[uri]
 
 
