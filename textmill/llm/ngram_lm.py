@@ -201,7 +201,7 @@ def lookup(uri: str, buckets: int, to: np.ndarray, keys: np.ndarray, names: list
     return out
 
 
-def _tier(n: int, buckets: int, uri: str):
+def _tier(n: int, buckets: int, context_buckets: int, uri: str):
     """A bucket of n-grams (adjusted count, plain count): writes its file; what goes on to contexts, the lower order and the statistics."""
 
     def tier(rows: pd.DataFrame) -> pd.DataFrame:
@@ -219,7 +219,7 @@ def _tier(n: int, buckets: int, uri: str):
             _save(f"{uri}/{n}/{b}", {"key": key[order], "adjusted": np.minimum(adjusted[order], 2**32 - 1).astype(np.uint32 if adjusted.max() > 65535 else np.uint16 if adjusted.max() > 255 else np.uint8)})
             context = ngram_key(words[:-1])
             (context,), sums = summed([context], [adjusted, (adjusted == 1).astype(np.int64), (adjusted == 2).astype(np.int64), (adjusted > 2).astype(np.int64)])
-            out += _dealt(CONTEXT, [context], sums, bucket_of(context, buckets), buckets)
+            out += _dealt(CONTEXT, [context], sums, bucket_of(context, context_buckets), context_buckets)
             tail = words[1:]
             new = np.zeros(len(tail[0]), bool)
             new[0] = True
@@ -229,7 +229,7 @@ def _tier(n: int, buckets: int, uri: str):
             below = [w[first] for w in tail]
             total = np.add.reduceat(plain, first)
             more = np.where(below[0] == BEGIN, total, np.diff(np.append(first, len(plain)))) if n > 2 else np.diff(np.append(first, len(plain)))
-            out += _dealt(NEXT, below, [more, total], bucket_of(suffix_key(below) if n > 2 else below[0], buckets), buckets)
+            out += _dealt(NEXT, below, [more, total], bucket_of(suffix_key(below) if n > 2 else ngram_key(below), buckets), buckets)
         stats = [int((adjusted == k).sum()) for k in (1, 2, 3, 4)] + [int((adjusted > 2).sum()), int(adjusted.sum()), int(plain.sum()), len(plain)]
         out.append((STATS, 0, np.array(stats, np.int64).tobytes()))
         return pd.DataFrame(out, columns=["kind", "bucket", "packed"])
@@ -259,8 +259,8 @@ def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, floa
 class Model:
     """Where a trained model lies and its global numbers."""
 
-    def __init__(self, uri: str, order: int, buckets: int, discounts: dict[int, tuple[float, float, float]], stats: list[int]):
-        self.uri, self.order, self.buckets, self.discounts = uri, order, buckets, discounts
+    def __init__(self, uri: str, order: int, buckets: int, context_buckets: int, discounts: dict[int, tuple[float, float, float]], stats: list[int]):
+        self.uri, self.order, self.buckets, self.context_buckets, self.discounts = uri, order, buckets, context_buckets, discounts
         one, two, _, _, more, self.continuations, self.n, self.v = stats
         self.rest = (discounts[1][0] * one + discounts[1][1] * two + discounts[1][2] * more) / max(1, self.continuations)
 
@@ -271,7 +271,7 @@ class Model:
     def score(self, off: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(plain count, base log10 probability, log10 probability) of each token."""
         kinds, back = np.unique(words, return_inverse=True)
-        plain, adjusted = lookup(f"{self.uri}/1", self.buckets, bucket_of(kinds, self.buckets), kinds, ["plain", "adjusted"])
+        plain, adjusted = lookup(f"{self.uri}/1", self.buckets, bucket_of(ngram_key([kinds]), self.buckets), kinds, ["plain", "adjusted"])
         p = ((self._discounted(1, adjusted) / max(1, self.continuations)) + (self.rest if self.n else 1.0) / (self.v + 1))[back]
         base = np.log10((plain + 0.5) / (self.n + 0.5 * (self.v + 1)))[back]
         for n in range(2, self.order + 1):
@@ -282,7 +282,7 @@ class Model:
             (a,) = lookup(f"{self.uri}/{n}", self.buckets, to, key, ["adjusted"])
             context = ngram_key(columns[:-1])
             own, at = np.unique(context, return_inverse=True)
-            total, weight = lookup(f"{self.uri}/c{n}", self.buckets, bucket_of(own, self.buckets), own, ["total", "weight"])
+            total, weight = lookup(f"{self.uri}/c{n}", self.context_buckets, bucket_of(own, self.context_buckets), own, ["total", "weight"])
             total, weight = total[at], weight[at]
             p = np.where(total > 0, self._discounted(n, a)[where] / np.maximum(total, 1) + weight * p, p)
         return plain[back], base, np.log10(p)
@@ -293,11 +293,13 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     spark = texts.sparkSession
     ready(spark)
     buckets = SPLIT * partitions(spark)
+    # each bucket sends its contexts to all of these, so they are fewer; unigrams stay in the bucket of their bigrams
+    context_buckets = max(1, partitions(spark) // 2)
     uri = f"{shared_dir(spark)}/ngram/{uuid.uuid4().hex}"
     stage = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(order, buckets), STAGE)
     discounts, stats, old = {}, [0] * 8, None
     for n in range(order, 0, -1):
-        done = written(stage.where(F.col("kind") == NEXT).groupBy("bucket").applyInPandas(_tier(n, buckets, uri), STAGE))
+        done = written(stage.where(F.col("kind") == NEXT).groupBy("bucket").applyInPandas(_tier(n, buckets, context_buckets, uri), STAGE))
         if old is not None:
             dropped(spark, old)
         rows = [np.frombuffer(r[0], np.int64) for r in done.where(F.col("kind") == STATS).select("packed").collect()]  # one row per bucket
@@ -307,7 +309,7 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
             done.where(F.col("kind") == CONTEXT).groupBy("bucket").applyInPandas(_contexts(n, uri, discounts[n]), "n long").agg(F.sum("n")).collect()
         stage, old = done, done
     dropped(spark, old)
-    return Model(uri, order, buckets, discounts, stats)
+    return Model(uri, order, buckets, context_buckets, discounts, stats)
 
 
 def _scored(model: Model):
