@@ -141,6 +141,28 @@ def test_jaccard_components(rows, docs, monkeypatch, block):
     assert got == brute.components(rows)
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_connected_components(spark, seed):
+    from textmill.llm._shared import components
+
+    rng = random.Random(seed)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(200 + i, 201 + i) for i in range(30)] + [(400, 400 + i) for i in range(30)]
+    up = {x: x for e in edges for x in e}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == want
+    assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
 def test_one_of_each_group(rows, docs):
     want = {c for _, c in brute.components(rows).values()}
     assert {r[0] for r in jaccard_join.one_of_each(docs).select("doc_id").collect()} == want

@@ -66,27 +66,34 @@ def words_count(text: Column) -> Column:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable over (src, dst), for every id in an edge.
 
-    Each round every id takes the smallest label among itself and its neighbours, then the label of that label, so long
-    chains halve. A label per round is written to the shared folder; joins are on ids, whose hot ones Spark can split.
+    By contraction: each round every id moves to the one of itself and its neighbours with the smallest hash, edges follow their
+    ends, and those inside one place are gone. Hashes stand for random priorities, so a fraction of the ids goes each
+    round whatever the shape, and few edges outlive the first. The moves are then followed from the last back to the first.
     """
     spark = edges.sparkSession
-    both = written(
-        edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    )
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("component").alias("next"))
-        new = written(low.join(jump, "low", "left").select("id", "was", F.least("low", F.coalesce("next", "low")).alias("component")))
-        changed = not new.where("was <> component").isEmpty()
-        dropped(spark, labels)
-        labels = new
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    dropped(spark, both)
-    out = labels.select("id", "component")
-    out._textmill_path = labels._textmill_path
+    left = written(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+    moves: list[DataFrame] = []
+    while not left.isEmpty():
+        if len(moves) == rounds:
+            raise RuntimeError("components did not settle")
+        near = left.select(F.col("src").alias("id"), order("dst").alias("to")).unionByName(left.select(F.col("dst").alias("id"), order("src").alias("to")))
+        move = written(near.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least(order("id"), "to")["id"].alias("to")))
+        moves.append(move)
+        follow = left.join(move.select(F.col("id").alias("src"), F.col("to").alias("a")), "src").join(move.select(F.col("id").alias("dst"), F.col("to").alias("b")), "dst")
+        nxt = written(follow.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+        dropped(spark, left)
+        left = nxt
+    dropped(spark, left)
+    if not moves:
+        out = written(edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0))
+        return out
+    place = moves[-1]
+    for move in reversed(moves[:-1]):
+        place = move.join(place.select(F.col("id").alias("to"), F.col("to").alias("last")), "to", "left").select("id", F.coalesce("last", "to").alias("to"))
+    placed = written(place)
+    dropped(spark, *moves)
+    least = placed.groupBy("to").agg(F.min("id").alias("low"))
+    out = written(placed.join(least, "to").select("id", F.least("low", "to").alias("component")))
+    dropped(spark, placed)
     return out
