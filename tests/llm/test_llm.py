@@ -200,6 +200,19 @@ def test_suffix_dedup(rows, docs, monkeypatch, hot):
     assert all(len(r["kept"]) == r["n_bytes"] - r["n_removed"] for r in out)
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_suffix_dedup_in_any_order(spark, descending):
+    rng = random.Random(5)
+    piece = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    low, shared, own = piece(60), piece(60), piece(300)
+    five = low + own + shared  # shares `low` with a smaller doc_id and `shared` with a larger one
+    rows = [(1, piece(100) + low), (5, five), (7, piece(80) + shared + piece(80)), (50, five), (100, five)]
+    assert brute.suffixes(rows)[7][1] >= 60
+    d = spark.createDataFrame(sorted(rows, reverse=descending), "doc_id long, text string").coalesce(1)
+    out = suffix_dedup.dedup_suffixes(d).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == brute.suffixes(rows)
+
+
 def test_suffix_classes():
     rng = random.Random(1)
     data = np.frombuffer(bytes(rng.choice(b"ab\x00\xffzyxwvutsrqponm") if rng.random() < 0.5 else 97 for _ in range(2000)), np.uint8)

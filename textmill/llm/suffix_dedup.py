@@ -130,7 +130,7 @@ def _anchored(buckets: int):
     """Anchors of each task's documents, dealt by hash; those that two documents of the task share are known to be repeated."""
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: dict[bytes, int] = {}  # the smallest doc_id of a text so far: what a later copy with a smaller one has must go on, too
         held, size, turn = [], 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -167,8 +167,10 @@ def _anchored(buckets: int):
             fresh = np.ones(t.n, bool)
             for i in range(t.n):
                 d = hashlib.md5(t.raw(i)).digest()
-                fresh[i] = d not in seen
-                seen.add(d)
+                least = seen.get(d)
+                fresh[i] = least is None or ids[i] < least
+                if fresh[i]:
+                    seen[d] = int(ids[i])
             if len(seen) > 200_000:
                 seen.clear()
             if not fresh.all():
