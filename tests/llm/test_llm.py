@@ -131,6 +131,13 @@ def test_language_model(spark, rows, docs, order):
         assert math.isclose(r["base_score"], w[4], rel_tol=1e-6) and math.isclose(r["score"], w[5], rel_tol=1e-5)
 
 
+def test_registered_language_model_has_order_3(spark, rows, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want, _, _ = brute.kneser_ney(rows, 3, ngram_lm.discounts_of)
+    got = queries.op3_ngram_lm(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and all(math.isclose(r["score"], want[r["doc_id"]][5], rel_tol=1e-5) for r in got)
+
+
 # 4
 
 

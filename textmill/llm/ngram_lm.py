@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from textmill.llm._bytes import Texts, U, chunks, mix
 from textmill.llm._shared import dropped, partitions, ready, shared_dir, written
 
-ORDER = 2
+ORDER = 3
 BEGIN, END = U(0x0B0B0B0B0B0B0B0B), U(0x0E0E0E0E0E0E0E0E)
 FLUSH = 1_500_000
 #: Buckets per shuffle partition: a bucket is what a worker holds at once when it counts.
@@ -201,7 +201,7 @@ def lookup(uri: str, buckets: int, to: np.ndarray, keys: np.ndarray, names: list
     return out
 
 
-def _tier(n: int, buckets: int, context_buckets: int, uri: str):
+def _tier(n: int, context_buckets: int, uri: str):
     """A bucket of n-grams (adjusted count, plain count): writes its file; what goes on to contexts, the lower order and the statistics."""
 
     def tier(rows: pd.DataFrame) -> pd.DataFrame:
@@ -229,7 +229,7 @@ def _tier(n: int, buckets: int, context_buckets: int, uri: str):
             below = [w[first] for w in tail]
             total = np.add.reduceat(plain, first)
             more = np.where(below[0] == BEGIN, total, np.diff(np.append(first, len(plain)))) if n > 2 else np.diff(np.append(first, len(plain)))
-            out += _dealt(NEXT, below, [more, total], bucket_of(suffix_key(below) if n > 2 else ngram_key(below), buckets), buckets)
+            out += _dealt(NEXT, below, [more, total], bucket_of(suffix_key(below) if n > 2 else ngram_key(below), context_buckets), context_buckets)
         stats = [int((adjusted == k).sum()) for k in (1, 2, 3, 4)] + [int((adjusted > 2).sum()), int(adjusted.sum()), int(plain.sum()), len(plain)]
         out.append((STATS, 0, np.array(stats, np.int64).tobytes()))
         return pd.DataFrame(out, columns=["kind", "bucket", "packed"])
@@ -264,6 +264,9 @@ class Model:
         one, two, _, _, more, self.continuations, self.n, self.v = stats
         self.rest = (discounts[1][0] * one + discounts[1][1] * two + discounts[1][2] * more) / max(1, self.continuations)
 
+    def _buckets(self, n: int) -> int:
+        return self.buckets if n == self.order else self.context_buckets
+
     def _discounted(self, n: int, a: np.ndarray) -> np.ndarray:
         d = self.discounts[n]
         return np.maximum(a - np.select([a > 2, a == 2, a == 1], [d[2], d[1], d[0]], 0.0), 0.0)
@@ -271,15 +274,15 @@ class Model:
     def score(self, off: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(plain count, base log10 probability, log10 probability) of each token."""
         kinds, back = np.unique(words, return_inverse=True)
-        plain, adjusted = lookup(f"{self.uri}/1", self.buckets, bucket_of(ngram_key([kinds]), self.buckets), kinds, ["plain", "adjusted"])
+        plain, adjusted = lookup(f"{self.uri}/1", self._buckets(1), bucket_of(ngram_key([kinds]), self._buckets(1)), kinds, ["plain", "adjusted"])
         p = ((self._discounted(1, adjusted) / max(1, self.continuations)) + (self.rest if self.n else 1.0) / (self.v + 1))[back]
         base = np.log10((plain + 0.5) / (self.n + 0.5 * (self.v + 1)))[back]
         for n in range(2, self.order + 1):
             columns = ngrams(off, words, n)
             key = ngram_key(columns)
             key, first, where = np.unique(key, return_index=True, return_inverse=True)
-            to = bucket_of(suffix_key([c[first] for c in columns]), self.buckets)
-            (a,) = lookup(f"{self.uri}/{n}", self.buckets, to, key, ["adjusted"])
+            to = bucket_of(suffix_key([c[first] for c in columns]), self._buckets(n))
+            (a,) = lookup(f"{self.uri}/{n}", self._buckets(n), to, key, ["adjusted"])
             context = ngram_key(columns[:-1])
             own, at = np.unique(context, return_inverse=True)
             total, weight = lookup(f"{self.uri}/c{n}", self.context_buckets, bucket_of(own, self.context_buckets), own, ["total", "weight"])
@@ -293,13 +296,13 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
     spark = texts.sparkSession
     ready(spark)
     buckets = SPLIT * partitions(spark)
-    # each bucket sends its contexts to all of these, so they are fewer; unigrams stay in the bucket of their bigrams
+    # each bucket sends its contexts and the lower order to all of these, so they are fewer; unigrams stay in the bucket of their bigrams
     context_buckets = max(1, partitions(spark) // 2)
     uri = f"{shared_dir(spark)}/ngram/{uuid.uuid4().hex}"
     stage = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(order, buckets), STAGE)
     discounts, stats, old = {}, [0] * 8, None
     for n in range(order, 0, -1):
-        done = written(stage.where(F.col("kind") == NEXT).groupBy("bucket").applyInPandas(_tier(n, buckets, context_buckets, uri), STAGE))
+        done = written(stage.where(F.col("kind") == NEXT).groupBy("bucket").applyInPandas(_tier(n, context_buckets, uri), STAGE))
         if old is not None:
             dropped(spark, old)
         rows = [np.frombuffer(r[0], np.int64) for r in done.where(F.col("kind") == STATS).select("packed").collect()]  # one row per bucket
