@@ -339,6 +339,24 @@ def test_licenses(spark):
     assert got == {(0, "gpl-3.0-line"): 1.0, (1, "gpl-3.0-line"): 1.0, (5, "cc-by-nc-4.0-line"): 1.0, (7, "gpl-3.0-line"): 7 / 8}
 
 
+def test_license_texts(spark):
+    texts = [f"some code here {license_scan.TEMPLATES[k]} and more of it" for k in ("mit-text", "bsd-3-clause-text", "isc-text", "apache-2.0-text", "lgpl-3.0-text", "lgpl-notice", "agpl-notice")]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["license_id"]): r["containment"] for r in license_scan.scan_licenses(d).collect()}
+    want = ["mit-text", "bsd-3-clause-text", "isc-text", "apache-2.0-text", "lgpl-3.0-text", "lgpl-notice", "agpl-notice"]
+    assert all(got.get((i, k)) == 1.0 for i, k in enumerate(want))
+
+
+def test_own_templates_without_license_words(spark):
+    clause = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    d = spark.createDataFrame([(1, f"first {clause} last"), (2, "nothing of that kind is said in here")], "doc_id long, text string")
+    for own in ({"clause": clause}, {"digits": "1 2 3 4 5 6 7 8"}):
+        text = next(iter(own.values()))
+        e = d.unionByName(spark.createDataFrame([(3, text)], "doc_id long, text string"))
+        got = {r["doc_id"] for r in license_scan.scan_licenses(e, templates=own).collect()}
+        assert got == ({1, 3} if "clause" in own else {3})
+
+
 def test_keywords_cover_the_templates():
     for text in license_scan.TEMPLATES.values():
         w = text.lower().split()

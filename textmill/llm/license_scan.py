@@ -6,8 +6,8 @@ has a Jaccard similarity of 0.6 to it, and its nearest window 0.5 at least; ther
 1 - (1 - 0.5 ** 2) ** 24 = 0.999, for a verbatim copy always. The candidate's window, widened by a stride to both sides, must
 then hold 0.75 of the template's shingles, counted exactly.
 
-Windows without any of KEYWORDS are skipped: every template is chosen so that over a quarter of its shingles have one, so
-nothing that could be verified is lost. Templates are a fixed list, so their bands are a small literal table; documents are
+Windows without any keyword are skipped: the keywords are taken from the templates so that of each more shingles have one than
+a match may miss, so nothing that could be verified is lost. Templates are a fixed list, so their bands are a small literal table; documents are
 never shuffled.
 
 Defined cases: null and empty texts, and texts of fewer than five words, hold no license; a document shorter than a template is one
@@ -16,11 +16,16 @@ window; repeated rows of a document give one result; other columns aren't read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: License notices (fixed values): id and text.
+from textmill.llm.license_texts import TEXTS
+
+#: License notices and whole texts (fixed values): id and text.
 TEMPLATES = {
+    "agpl-notice": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     "bsd-line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
@@ -30,16 +35,53 @@ TEMPLATES = {
     "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-notice": "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-notice": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mit-line": "Released under the MIT License.",
     "mit-notice": 'Licensed under the MIT License. See LICENSE file in the project root for full license information.',
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    **TEXTS,
 }
-KEYWORDS = ("licen", "mozilla", "mpl")
 SHINGLE, ROWS, BANDS = 5, 2, 24
 HASHES = ROWS * BANDS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _words(text: str) -> list[str]:
+    """words_of() in Python."""
+    return re.findall(r"[^\x20\x09-\x0D]+", text.translate(str.maketrans(UPPER, LOWER)))
+
+
+def keywords_of(templates: dict[str, str], threshold: float) -> tuple[str, ...]:
+    """Parts of words such that of each template over 1 - threshold of the shingles have one; () if letters can't give that.
+
+    Long parts are preferred, as other texts have them less often; of these those that the most shingles still need.
+    """
+    sets = []
+    for text in templates.values():
+        w = _words(text)
+        if len(w) >= SHINGLE:
+            sets.append({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)})
+    out: list[str] = []
+    open_ = [(s, threshold * len(s)) for s in sets]  # the shingles without a keyword, and what they must fall below
+    for least in (6, 3, 1):
+        while True:
+            short = [s for s, most in open_ if len(s) >= most]
+            count: dict[str, int] = {}
+            for s in short:
+                for shingle in s:
+                    for part in {x for w in shingle for x in re.findall("[a-z]+", w) if len(x) >= least}:
+                        count[part] = count.get(part, 0) + 1
+            if not count:
+                break
+            best = min(count, key=lambda x: (-count[x], x))
+            out.append(best)
+            open_ = [({x for x in s if not any(best in w for w in x)}, most) for s, most in open_]
+    return () if any(len(s) >= most for s, most in open_) else tuple(out)
+
+
+KEYWORDS = keywords_of(TEMPLATES, 0.75)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text with A-Z lowered."""
     return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
@@ -70,10 +112,13 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def has_keyword(text: Column) -> Column:
+def has_keyword(text: Column, keywords: tuple[str, ...]) -> Column:
+    """Whether a text has any of the keywords; without keywords every text counts."""
+    if not keywords:
+        return text.isNotNull()
     text = F.lower(text)
-    out = F.contains(text, F.lit(KEYWORDS[0]))
-    for k in KEYWORDS[1:]:
+    out = F.contains(text, F.lit(keywords[0]))
+    for k in keywords[1:]:
         out = out | F.contains(text, F.lit(k))
     return out
 
@@ -93,13 +138,14 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.75, templates: dict[str,
     """(doc_id, license_id, containment): the best match of each template that a document holds, over its whole text."""
     spark = docs.sparkSession
     templates = templates or TEMPLATES
+    keywords = keywords_of(templates, threshold)
     known = spark.createDataFrame(list(templates.items()), "license_id string, text string")
     known = known.select("license_id", words_of(F.col("text")).alias("w")).select("license_id", F.size("w").alias("size"), shingles_of(F.col("w")).alias("template"))
     known = known.select("*", F.posexplode(bands_of(lows_of(hashes_of(F.col("template"))))).alias("band", "value"))
-    sizes = sorted({len(t.split()) for t in templates.values()})
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where(has_keyword(F.col("text")))
+    sizes = sorted({len(_words(t)) for t in templates.values()})
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).where(has_keyword(F.col("text"), keywords))
     cut = _once(some, "words", words_of(F.col("text"))).select("doc_id", "words").where(F.size("words") >= SHINGLE)
-    at = _once(cut, "at", F.filter(F.transform("words", lambda w, i: F.when(has_keyword(w), i)), lambda i: i.isNotNull())).where(F.size("at") > 0)
+    at = _once(cut, "at", F.filter(F.transform("words", lambda w, i: F.when(has_keyword(w, keywords), i)), lambda i: i.isNotNull())).where(F.size("at") > 0)
     windows = at.select("doc_id", F.inline(F.flatten(F.array(*(_windows(n) for n in sizes)))))
     hashed = _once(windows, "hashed", hashes_of(shingles_of(F.col("own"))))
     banded = _once(hashed, "low", lows_of(F.col("hashed"))).select("doc_id", "size", "wide", F.posexplode(bands_of(F.col("low"))).alias("band", "value"))
