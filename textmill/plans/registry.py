@@ -468,8 +468,7 @@ def arith_verify(spark, d):
 
 @query()
 def best_match_distance(spark, d):
-    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    return c.select("conv_id", "turn", S.best_match_distance(F.substring("text", 1, 12), F.substring("text", 40, 200)).alias("distance"))
+    return pair_texts(spark, d).select("conv_id", "turn", S.best_match_distance(F.col("question"), F.col("answer")).alias("distance"))
 
 
 @query()
