@@ -251,6 +251,33 @@ def test_odd_pages(page):
     assert "menu" not in html_extract.extract(page)
 
 
+ARTICLE = "<h2>Title</h2><p>First paragraph, which is long enough to be read, has commas, and words that go on for more than a line of text.</p><p>Second one, also long, with commas, and words.</p>"
+COMMENTS = '<div id="comments"><article><p>I think, this is a comment, long enough, to count, yes, really, it is</p></article></div>'
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ('<div class="content has-sidebar">', "</div>"),
+        ('<div id="page" class="header-fixed">', "</div>"),
+        ('<div class="post no-comments">', "</div>"),
+        ('<div class="header-fixed"><div class="no-sidebar"><article>', "</article></div></div>"),
+        ('<div class="no-sidebar"><main>', "</main></div>"),
+        ('<div class="header-fixed">', "</div>"),
+    ],
+)
+def test_wrappers_of_the_article_stay(start, end):
+    text = html_extract.extract(f'<body><div class="sidebar"><p>Some sidebar text, with commas</p></div>{start}{ARTICLE}{COMMENTS if "article" in start or "main" in start else ""}{end}</body>')
+    assert "First paragraph" in text and "Second one" in text and "sidebar" not in text
+
+
+def test_comments_and_cards_stay_cut():
+    related = '<div class="related"><article><p>Another story, that is long enough, to count, with commas, and more words</p></article></div>'
+    for page in (f"<body><article>{ARTICLE}</article>{COMMENTS}{related}</body>", f'<body><div class="post">{ARTICLE}</div><div class="post-comments"><p>{"a comment, that is long, " * 40}</p></div></body>'):
+        text = html_extract.extract(page)
+        assert "First paragraph" in text and "comment" not in text and "Another" not in text
+
+
 def test_pages(spark):
     d = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (1, "u", PAGE)], "page_id long, url string, html string")
     got = html_extract.extract_pages(clashing(d)).collect()

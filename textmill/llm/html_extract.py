@@ -1,7 +1,8 @@
 """Main text of HTML pages by tree scoring.
 
 The page becomes a tree of elements, forgiving about tags that are left open. Parts that can't be article text are cut off: by
-element (nav, header, footer, aside, form, script, style ...) and by the words in class, id and role. Blocks of text pass
+element (nav, header, footer, aside, form, script, style ...) and by the words in class, id and role, but for wrappers of the
+article. Blocks of text pass
 points for length and commas to their ancestors, each level up half as many, and a container's points are discounted by its link
 density. The best container is kept with those of its siblings that score well or read like prose.
 
@@ -52,13 +53,56 @@ SPACES = re.compile(r"\s+")
 class Node:
     """An element: its parent, its place among blocks, the blocks below it."""
 
-    __slots__ = ("bad", "blocks", "good", "link_chars", "name", "parent", "points", "chars", "order")
+    __slots__ = ("bad", "blocks", "good", "link_chars", "name", "parent", "points", "chars", "order", "soft")
 
-    def __init__(self, name: str, parent: Node | None, bad: bool, good: bool, order: int):
-        self.name, self.parent, self.bad, self.good, self.order = name, parent, bad, good, order
+    def __init__(self, name: str, parent: Node | None, bad: bool, good: bool, order: int, soft: bool = False):
+        # bad: cut by element or as hidden; soft: cut by its words unless spare() finds the article in it
+        self.name, self.parent, self.bad, self.good, self.order, self.soft = name, parent, bad, good, order, soft
         self.points, self.chars, self.link_chars, self.blocks = 0.0, 0, 0, []
 
 
+def _named_bad(named: str) -> bool:
+    """Whether words of class, id and role mark no article text: one is bad, and none is good without a bad part."""
+    if not BAD.search(named):
+        return False
+    return not any(GOOD.search(w) and not BAD.search(w) for w in named.split())
+
+
+def _above(n: Node) -> Iterator[Node]:
+    """A node and its ancestors."""
+    up: Node | None = n
+    while up is not None:
+        yield up
+        up = up.parent
+
+
+def spare(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks outside elements that are cut by their words.
+
+    Such an element is a wrapper and stays if it holds the page's article or main element, and none stands outside the cut ones;
+    or, on a page without these, if it holds most of the text and no block of prose stands outside them.
+    """
+    softs = [n for n in nodes if n.soft]
+    if not softs:
+        return blocks
+    bodies = [n for n in nodes if n.name in ("article", "main") and not n.bad]
+    size = sum(len(b[1]) for b in blocks)
+    free = lambda n: not any(x.soft for x in _above(n))
+    found = any(free(n) for n in bodies)
+    prose = found or any(len(t) > 80 and links < 0.25 * len(t) and free(n) for n, t, links in blocks)
+    for soft in softs:
+        if found or prose and not bodies:
+            break
+        if soft.parent is not None and not free(soft.parent):
+            continue
+        inside = lambda n, soft=soft: any(x is soft for x in _above(n))
+        if any(inside(n) for n in bodies) or not bodies and sum(len(t) for n, t, _ in blocks if inside(n)) > size / 2:
+            soft.soft = False
+            found = any(free(n) for n in bodies)
+            prose = found or any(len(t) > 80 and links < 0.25 * len(t) and free(n) for n, t, links in blocks)
+    return [b for b in blocks if free(b[0])]
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """(nodes, blocks): blocks in page order as (node that holds it, text, characters in links)."""
     root = Node("#root", None, False, False, 0)
@@ -153,13 +197,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 continue
             words = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3] else {}
             named = f"{words.get('class', '')} {words.get('id', '')} {words.get('role', '')}"
-            bad = name in CUT or name not in ("body", "html", "article", "main") and bool(BAD.search(named)) or "hidden" in words or words.get("aria-hidden") == "true" or "display:none" in words.get("style", "").replace(" ", "")
-            node = Node(name, stack[-1], stack[-1].bad or bad, name in ("article", "main") or words.get("role") == "main" or "articlebody" in words.get("itemprop", "").lower() or bool(GOOD.search(named)), len(nodes))
+            bad = name in CUT or "hidden" in words or words.get("aria-hidden") == "true" or "display:none" in words.get("style", "").replace(" ", "")
+            node = Node(name, stack[-1], stack[-1].bad or bad, name in ("article", "main") or words.get("role") == "main" or "articlebody" in words.get("itemprop", "").lower() or bool(GOOD.search(named)), len(nodes), name not in ("body", "html", "article", "main") and _named_bad(named))
             nodes.append(node)
             if not m[3].endswith("/"):
                 stack.append(node)
     flush()
-    return nodes, blocks
+    return nodes, spare(nodes, blocks)
 
 
 def extract(page: str | None) -> str:
