@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.session import ship
@@ -21,16 +21,24 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textmill-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def ready(spark: SparkSession, rows: int = 1000) -> None:
-    """Sends this package to the workers once; texts can be long, so Arrow batches get fewer rows than Spark's default."""
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def ready(spark: SparkSession) -> None:
+    """Sends this package to the workers once. Long texts are no trouble: Spark bounds the bytes of an Arrow batch, chunks() those at work."""
     ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
@@ -54,6 +62,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows, written, with their place (from 0) in a total order as a long: ranges are numbered apart, and only the sizes of
+    the ranges, one number per shuffle partition, go to the driver."""
+    spark = rows.sparkSession
+    part, place = fresh(rows, "part"), fresh(rows, name)
+    cut = written(rows.repartitionByRange(partitions(spark), *order).withColumn(part, F.spark_partition_id()))
+    sizes = dict(cut.groupBy(part).count().collect())
+    before, starts = 0, []
+    for k in range(max(sizes, default=-1) + 1):
+        starts.append(before)
+        before += sizes.get(k, 0)
+    start = F.element_at(F.array(*(F.lit(x).cast("long") for x in starts or [0])), F.col(part) + 1)
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return cut.withColumn(place, start + inside - 1).drop(part)
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
