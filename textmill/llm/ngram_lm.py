@@ -1,19 +1,23 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and read by the workers from memory-mapped sorted hash arrays.
 
-Training: tasks count the n-grams of their texts before anything is shuffled and deal them by their last n - 1 words. So all
-n-grams with one suffix meet, their distinct first words are the suffix's continuation count, and the suffixes are the records
-of the next lower order. Each bucket writes the sorted keys and counts of its n-grams to a file in the shared folder; context
-totals are summed the same way. Counts of an n-gram that starts with the begin mark are plain counts, as nothing precedes it.
+Training: tasks count the n-grams of their texts before anything is shuffled and deal them by a hash of their context, the words
+before the last. So a bucket holds whole contexts: it writes the sorted keys and counts of its n-grams, and the totals of its contexts, to
+a file in the shared folder. It sends on the suffixes of its n-grams, one word shorter, each with its number of distinct first words there;
+as an n-gram is in one bucket only, their sums are the continuation counts of the next lower order, dealt by their own
+contexts. Counts of an n-gram that starts with the begin mark are plain counts, as nothing precedes it.
 
-Scoring: each worker maps the files (on a store without local paths it copies them once), and looks up a batch's distinct n-grams in
+What is shuffled is packed: a block has a dictionary of its words, columns of numbers in it, sorted, and counts. Context totals are kept as
+numbers of the distinct ones, since most contexts have one continuation.
+
+Scoring: each worker maps the files (on a store without local paths it copies those it needs), and looks up a batch's distinct n-grams in
 sorted order. What is gathered grows with the corpus, but no worker, nor the driver, loads it.
 
 p(w | h) = max(a(hw) - D, 0) / A(h) + g(h) p(w | h'), with three discounts D per order from the counts of counts; below the
 unigrams stands 1 / (V + 1) for each of the V training tokens and for any unknown one. An unseen context passes down.
 
-Defined cases: null and empty texts are one end token; a null doc_id trains; repeated rows count as often as they stand; without
-training text every probability is 1; discounts that the counts of counts can't give are 0.5, 1 and 1.5; other columns aren't
-read. Keys are 64-bit hashes of words and n-grams.
+Defined cases: null and empty texts are one end token; a very long text is counted and scored like any other; a null doc_id trains; repeated
+rows count as often as they stand; without training text every probability is 1; discounts that the counts of counts can't give are 0.5,
+1 and 1.5; other columns aren't read. Keys are 64-bit hashes of words and n-grams.
 """
 
 from __future__ import annotations
@@ -35,11 +39,11 @@ from textmill.llm._shared import dropped, partitions, ready, shared_dir, written
 
 ORDER = 3
 BEGIN, END = U(0x0B0B0B0B0B0B0B0B), U(0x0E0E0E0E0E0E0E0E)
-FLUSH = 1_500_000
-#: Buckets per shuffle partition: a bucket is what a worker holds at once when it counts.
-SPLIT = 4
+FLUSH = 2_000_000
+#: Buckets per shuffle partition, unless these have under LEAST or over MOST bytes of the table: a bucket is what a worker holds at once.
+SPLIT, LEAST, MOST = 4, 1 << 20, 1 << 26
 STAGE = "kind int, bucket int, packed binary"
-NEXT, CONTEXT, STATS = 0, 1, 2
+NEXT, STATS = 0, 1
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -51,39 +55,69 @@ def ngram_key(words: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def pack(words: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
-    """Rows sorted by the last word, compactly: runs of the last word, the other words, the counts."""
-    last = words[-1]
-    first = np.flatnonzero(np.append(True, last[1:] != last[:-1]))
-    runs = np.diff(np.append(first, len(last))).astype(np.uint32)
-    columns = [last[first], runs, *words[:-1], *(c.astype(np.uint32) for c in counts)]
-    raw = b"".join(np.int64(c.nbytes).tobytes() + c.tobytes() for c in columns)
-    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+def _planes(x: np.ndarray) -> bytes:
+    """Small numbers as bytes, the lowest of all first: the upper ones are mostly 0 and pack to nothing."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def unpack(packed: bytes, n: int, counts: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    raw = pa.decompress(packed[8:], int(np.frombuffer(packed, np.int64, 1)[0]), "zstd", asbytes=True)
-    at, columns = 0, []
-    for k in range(2 + n - 1 + counts):
-        size = int(np.frombuffer(raw, np.int64, 1, at)[0])
-        kind = np.uint32 if k == 1 or k > n else U
-        columns.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at + 8))
-        at += 8 + size
-    return [*columns[2 : 1 + n], np.repeat(columns[0], columns[1])], [c.astype(np.int64) for c in columns[1 + n :]]
+def pack(kinds: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
+    """Rows of word numbers (kinds: their words), sorted as by grouped(), and their counts, compactly."""
+    used, codes = np.unique(np.concatenate(columns), return_inverse=True)
+    codes = codes.reshape(len(columns), -1)
+    lead = codes[-2] if len(columns) > 1 else codes[0]  # ascending
+    parts = [kinds[used].tobytes(), _planes(np.diff(lead, prepend=0)), *(_planes(c) for k, c in enumerate(codes) if k != max(0, len(columns) - 2)), *(_planes(c) for c in counts)]
+    head = np.array([len(used), len(lead)], np.int64).tobytes()
+    raw = head + b"".join(parts)
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
-def summed(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct rows, sorted by the last word, then the one before and so on, with summed counts."""
-    if not len(words[0]):
-        return words, counts
-    order = np.lexsort(words)
-    words = [w[order] for w in words]
-    new = np.zeros(len(order), bool)
-    new[0] = True
-    for w in words:
-        new[1:] |= w[1:] != w[:-1]
-    first = np.flatnonzero(new)
-    return [w[first] for w in words], [np.add.reduceat(c[order], first) for c in counts]
+def unpack(packed: bytes, n: int, counts: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    raw = np.frombuffer(pa.decompress(packed[8:], int(np.frombuffer(packed, np.int64, 1)[0]), "zstd"), np.uint8)
+    used, rows = (int(x) for x in raw[:16].view(np.int64))
+    kinds = raw[16 : 16 + 8 * used].copy().view(U)
+    rest = np.ascontiguousarray(raw[16 + 8 * used :].reshape(n + counts, 4, rows).transpose(0, 2, 1)).view("<u4")[..., 0].astype(np.int64)
+    lead = np.cumsum(rest[0])
+    at = max(0, n - 2)
+    columns = [*rest[1:n]]
+    columns.insert(at, lead)
+    return kinds, columns, [*rest[n:]]
+
+
+def merged(parts: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The unpacked blocks as one, over one dictionary."""
+    kinds = np.unique(np.concatenate([p[0] for p in parts]))
+    to = [np.searchsorted(kinds, p[0]) for p in parts]
+    columns = [np.concatenate([t[p[1][k]] for t, p in zip(to, parts, strict=True)]) for k in range(len(parts[0][1]))]
+    return kinds, columns, [np.concatenate([p[2][k] for p in parts]) for k in range(len(parts[0][2]))]
+
+
+def grouped(columns: list[np.ndarray], size: int, counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of word numbers under size with their summed counts (without any: how often each stands).
+
+    Sorted by the context from its last word back, then by the last word.
+    """
+    turned = [*columns[-2::-1], columns[-1]] if len(columns) > 1 else columns
+    bits = max(1, int(size - 1).bit_length())
+    if bits * len(columns) <= 63:
+        key = turned[0].astype(np.int64)
+        for c in turned[1:]:
+            key = key << bits | c
+        order = np.argsort(key, kind="stable") if counts else None
+        key = key[order] if counts else np.sort(key)
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        rows = [key[first] >> (bits * (len(columns) - 1 - k)) & ((1 << bits) - 1) for k in range(len(columns))]
+    else:
+        order = np.lexsort(turned[::-1])
+        turned = [c[order] for c in turned]
+        new = np.arange(len(order)) == 0
+        for c in turned:
+            new[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(new)
+        rows = [c[first] for c in turned]
+    rows = [*rows[-2::-1], rows[-1]] if len(rows) > 1 else rows
+    if not counts:
+        return rows, [np.diff(np.append(first, len(columns[0])))]
+    return rows, [np.add.reduceat(c[order], first) for c in counts]
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -91,12 +125,18 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
-def _dealt(kind: int, words: list[np.ndarray], counts: list[np.ndarray], to: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+def context_of(words: list[np.ndarray]) -> np.ndarray:
+    """What an n-gram is dealt by: its context, or the word itself if it has none."""
+    return ngram_key(words[:-1] or words)
+
+
+def _dealt(kinds: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    to = bucket_of(context_of([kinds[c] for c in columns]), buckets)
     order = np.argsort(to, kind="stable")
     at = np.searchsorted(to[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(at)).tolist():
         some = order[at[b] : at[b + 1]]
-        yield kind, b, pack([w[some] for w in words], [c[some] for c in counts])
+        yield NEXT, b, pack(kinds, [c[some] for c in columns], [c[some] for c in counts])
 
 
 def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -111,35 +151,32 @@ def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return off, out
 
 
-def ngrams(off: np.ndarray, words: np.ndarray, n: int) -> list[np.ndarray]:
-    """For each token the n - 1 words before it (BEGIN before the text) and itself, as columns."""
+def ngrams(off: np.ndarray, words: np.ndarray, n: int, begin=BEGIN) -> list[np.ndarray]:
+    """For each token the n - 1 words before it (begin before the text) and itself, as columns."""
     place = np.arange(len(words)) - np.repeat(off[:-1], np.diff(off))
     columns = []
     for back in range(n - 1, 0, -1):
-        w = np.full(len(words), BEGIN, U)
+        w = np.full(len(words), begin, words.dtype)
         ok = place >= back
         w[ok] = words[np.flatnonzero(ok) - back]
         columns.append(w)
     return [*columns, words]
 
 
-def suffix_key(words: list[np.ndarray]) -> np.ndarray:
-    return ngram_key(words[1:])
-
-
 def _counted(n: int, buckets: int):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            words, (count,) = summed([np.concatenate(c) for c in zip(*held, strict=True)], [np.ones(size, np.int64)])
-            rows = list(_dealt(NEXT, words, [count, count], bucket_of(suffix_key(words), buckets), buckets))
+            off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for o, _ in held]))])
+            kinds, codes = np.unique(np.concatenate([*(w for _, w in held), [BEGIN]]), return_inverse=True)
+            columns, (count,) = grouped(ngrams(off, codes[:-1], n, codes[-1]), len(kinds), [])
+            rows = list(_dealt(kinds, columns, [count, count], buckets))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["kind", "bucket", "packed"])
 
         for batch in chunks(batches, "text"):
-            columns = ngrams(*tokens(Texts(batch.column(0))), n)
-            held.append(columns)
-            size += len(columns[0])
+            held.append(tokens(Texts(batch.column(0))))
+            size += len(held[-1][1])
             if size >= FLUSH:
                 yield flush()
                 held, size = [], 0
@@ -149,16 +186,23 @@ def _counted(n: int, buckets: int):
     return counted
 
 
+#: What pyarrow calls the schemes that Spark writes with.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
+
+
 def _open(uri: str):
     """(file system, path) of a URI."""
-    return pa.fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pa.fs.LocalFileSystem(), uri)
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return pa.fs.LocalFileSystem(), uri
+    return pa.fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def _save(uri: str, arrays: dict[str, np.ndarray]) -> None:
     """Writes the arrays as one Arrow file; a task that runs again replaces it as a whole."""
     fs, path = _open(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
-    table = pa.table({k: pa.array(v) for k, v in arrays.items()})
+    table = pa.table({k: pa.LargeListArray.from_arrays([0, len(v)], pa.array(v)) for k, v in arrays.items()})
     part = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(part) as out, pa.ipc.new_file(out, table.schema) as writer:
         writer.write_table(table)
@@ -174,62 +218,55 @@ def _load(uri: str) -> dict[str, np.ndarray] | None:
         fs, path = _open(uri)
         if fs.get_file_info(path).type == pa.fs.FileType.NotFound:
             _maps[uri] = None
-        else:
-            if fs.type_name != "local":
-                local = tempfile.NamedTemporaryFile(prefix="ngram-", delete=False).name
-                pa.fs.copy_files(path, local, source_filesystem=fs, destination_filesystem=pa.fs.LocalFileSystem())
-                path = local
-            table = pa.ipc.open_file(pa.memory_map(path)).read_all()
-            _maps[uri] = {k: table.column(k).chunk(0).to_numpy() if table.num_rows else np.zeros(0, U) for k in table.column_names}
+        elif fs.type_name == "local":
+            _maps[uri] = _mapped(path)
+        else:  # the copy has no name once it is mapped, so nothing is left of it
+            fd, local = tempfile.mkstemp(prefix="ngram-")
+            os.close(fd)
+            pa.fs.copy_files(path, local, source_filesystem=fs, destination_filesystem=pa.fs.LocalFileSystem())
+            _maps[uri] = _mapped(local)
+            os.unlink(local)
     return _maps[uri]
 
 
-def lookup(uri: str, buckets: int, to: np.ndarray, keys: np.ndarray, names: list[str]) -> list[np.ndarray]:
-    """The values of keys, 0 where there is none; to: the bucket of each."""
-    out = [np.zeros(len(keys), np.float64) for _ in names]
-    order = np.lexsort((keys, to))
-    at = np.searchsorted(to[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(at)).tolist():
-        table = _load(f"{uri}/{b}")
-        if table is None or not len(table["key"]):
-            continue
-        some = order[at[b] : at[b + 1]]
-        k = np.minimum(np.searchsorted(table["key"], keys[some]), len(table["key"]) - 1)
-        hit = table["key"][k] == keys[some]
-        for o, name in zip(out, names, strict=True):
-            o[some[hit]] = table[name][k[hit]]
-    return out
+def _mapped(path: str) -> dict[str, np.ndarray]:
+    table = pa.ipc.open_file(pa.memory_map(path)).read_all()
+    return {k: table.column(k).chunk(0).values.to_numpy() for k in table.column_names}
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """The numbers in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
 
 
-def _tier(n: int, context_buckets: int, uri: str):
-    """A bucket of n-grams (adjusted count, plain count): writes its file; what goes on to contexts, the lower order and the statistics."""
+def _tier(n: int, below_buckets: int, uri: str):
+    """A bucket of n-grams (adjusted count, plain count): writes its file; what goes on to the lower order, and the statistics."""
 
     def tier(rows: pd.DataFrame) -> pd.DataFrame:
         b = int(rows["bucket"].iloc[0])
-        parts = [unpack(x, n, 2) for x in rows["packed"]]
-        words, (adjusted, plain) = summed([np.concatenate([p[0][k] for p in parts]) for k in range(n)], [np.concatenate([p[1][k] for p in parts]) for k in range(2)])
-        del parts
+        kinds, columns, counts = merged([unpack(x, n, 2) for x in rows["packed"]])
+        columns, (adjusted, plain) = grouped(columns, len(kinds), counts)
+        words = [kinds[c] for c in columns]
         out = []
+        key = words[0] if n == 1 else ngram_key(words)
+        order = np.argsort(key)
+        arrays = {"key": key[order], "adjusted": _small(adjusted[order])}
         if n == 1:
-            key = words[0]
-            _save(f"{uri}/1/{b}", {"key": key, "adjusted": adjusted.astype(np.uint32), "plain": plain.astype(np.uint32)})
+            arrays["plain"] = _small(plain[order])
         else:
-            key = ngram_key(words)
-            order = np.argsort(key)
-            _save(f"{uri}/{n}/{b}", {"key": key[order], "adjusted": np.minimum(adjusted[order], 2**32 - 1).astype(np.uint32 if adjusted.max() > 65535 else np.uint16 if adjusted.max() > 255 else np.uint8)})
-            context = ngram_key(words[:-1])
-            (context,), sums = summed([context], [adjusted, (adjusted == 1).astype(np.int64), (adjusted == 2).astype(np.int64), (adjusted > 2).astype(np.int64)])
-            out += _dealt(CONTEXT, [context], sums, bucket_of(context, context_buckets), context_buckets)
-            tail = words[1:]
-            new = np.zeros(len(tail[0]), bool)
-            new[0] = True
-            for w in tail:
-                new[1:] |= w[1:] != w[:-1]
+            new = np.arange(len(key)) == 0
+            for c in columns[:-1]:
+                new[1:] |= c[1:] != c[:-1]
             first = np.flatnonzero(new)
-            below = [w[first] for w in tail]
-            total = np.add.reduceat(plain, first)
-            more = np.where(below[0] == BEGIN, total, np.diff(np.append(first, len(plain)))) if n > 2 else np.diff(np.append(first, len(plain)))
-            out += _dealt(NEXT, below, [more, total], bucket_of(suffix_key(below) if n > 2 else ngram_key(below), context_buckets), context_buckets)
+            sums = np.stack([np.add.reduceat(x, first) for x in (adjusted, (adjusted == 1).astype(np.int64), (adjusted == 2).astype(np.int64), (adjusted > 2).astype(np.int64))])
+            _, which, kind = np.unique(ngram_key([x.astype(U) for x in sums]), return_index=True, return_inverse=True)
+            context = ngram_key([w[first] for w in words[:-1]])
+            order = np.argsort(context)
+            arrays |= {"context": context[order], "sums": _small(kind[order])} | {f"sum{k}": sums[k][which] for k in range(4)}
+            tail, sums = grouped(columns[1:], len(kinds), [np.ones(len(key), np.int64), plain])
+            more = np.where(kinds[tail[0]] == BEGIN, sums[1], sums[0])
+            out += _dealt(kinds, tail, [more, sums[1]], below_buckets)
+        _save(f"{uri}/{n}/{b}", arrays)
         stats = [int((adjusted == k).sum()) for k in (1, 2, 3, 4)] + [int((adjusted > 2).sum()), int(adjusted.sum()), int(plain.sum()), len(plain)]
         out.append((STATS, 0, np.array(stats, np.int64).tobytes()))
         return pd.DataFrame(out, columns=["kind", "bucket", "packed"])
@@ -237,18 +274,6 @@ def _tier(n: int, context_buckets: int, uri: str):
     return tier
 
 
-def _contexts(n: int, uri: str, discounts: tuple[float, float, float]):
-    def contexts(rows: pd.DataFrame) -> pd.DataFrame:
-        b = int(rows["bucket"].iloc[0])
-        parts = [unpack(x, 1, 4) for x in rows["packed"]]
-        (key,), (total, one, two, more) = summed([np.concatenate([p[0][0] for p in parts])], [np.concatenate([p[1][k] for p in parts]) for k in range(4)])
-        weight = (discounts[0] * one + discounts[1] * two + discounts[2] * more) / total
-        _save(f"{uri}/c{n}/{b}", {"key": key, "total": total.astype(np.uint32 if total.max() < 2**32 else np.int64), "weight": weight.astype(np.float32)})
-        return pd.DataFrame({"n": [len(key)]})
-
-    return contexts
-
-
 def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """The three discounts from the counts of counts."""
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
@@ -259,60 +284,80 @@ def discounts_of(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, floa
 class Model:
     """Where a trained model lies and its global numbers."""
 
-    def __init__(self, uri: str, order: int, buckets: int, context_buckets: int, discounts: dict[int, tuple[float, float, float]], stats: list[int]):
-        self.uri, self.order, self.buckets, self.context_buckets, self.discounts = uri, order, buckets, context_buckets, discounts
+    def __init__(self, uri: str, order: int, buckets: dict[int, int], discounts: dict[int, tuple[float, float, float]], stats: list[int]):
+        self.uri, self.order, self.buckets, self.discounts = uri, order, buckets, discounts
         one, two, _, _, more, self.continuations, self.n, self.v = stats
         self.rest = (discounts[1][0] * one + discounts[1][1] * two + discounts[1][2] * more) / max(1, self.continuations)
 
-    def _buckets(self, n: int) -> int:
-        return self.buckets if n == self.order else self.context_buckets
-
     def _discounted(self, n: int, a: np.ndarray) -> np.ndarray:
         d = self.discounts[n]
         return np.maximum(a - np.select([a > 2, a == 2, a == 1], [d[2], d[1], d[0]], 0.0), 0.0)
 
+    def _lookup(self, n: int, context: np.ndarray, keys: np.ndarray, column: str, names: list[str]) -> list[np.ndarray]:
+        """The values of ascending keys, 0 where there is none; context: what each is dealt by."""
+        out = [np.zeros(len(keys), np.int64) for _ in names]
+        to = bucket_of(context, self.buckets[n])
+        order = np.argsort(to, kind="stable")
+        at = np.searchsorted(to[order], np.arange(self.buckets[n] + 1))
+        for b in np.flatnonzero(np.diff(at)).tolist():
+            table = _load(f"{self.uri}/{n}/{b}")
+            if table is None:
+                continue
+            some = order[at[b] : at[b + 1]]
+            k = np.minimum(np.searchsorted(table[column], keys[some]), len(table[column]) - 1)
+            hit = table[column][k] == keys[some]
+            for o, name in zip(out, names, strict=True):
+                o[some[hit]] = table[name][k[hit]] if not name.startswith("sum") else table[name][table["sums"][k[hit]]]
+        return out
+
     def score(self, off: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(plain count, base log10 probability, log10 probability) of each token."""
         kinds, back = np.unique(words, return_inverse=True)
-        plain, adjusted = lookup(f"{self.uri}/1", self._buckets(1), bucket_of(ngram_key([kinds]), self._buckets(1)), kinds, ["plain", "adjusted"])
+        plain, adjusted = self._lookup(1, context_of([kinds]), kinds, "key", ["plain", "adjusted"])
         p = ((self._discounted(1, adjusted) / max(1, self.continuations)) + (self.rest if self.n else 1.0) / (self.v + 1))[back]
         base = np.log10((plain + 0.5) / (self.n + 0.5 * (self.v + 1)))[back]
         for n in range(2, self.order + 1):
             columns = ngrams(off, words, n)
-            key = ngram_key(columns)
-            key, first, where = np.unique(key, return_index=True, return_inverse=True)
-            to = bucket_of(suffix_key([c[first] for c in columns]), self._buckets(n))
-            (a,) = lookup(f"{self.uri}/{n}", self._buckets(n), to, key, ["adjusted"])
             context = ngram_key(columns[:-1])
+            key, first, where = np.unique(ngram_key(columns), return_index=True, return_inverse=True)
+            (a,) = self._lookup(n, context[first], key, "key", ["adjusted"])
             own, at = np.unique(context, return_inverse=True)
-            total, weight = lookup(f"{self.uri}/c{n}", self.context_buckets, bucket_of(own, self.context_buckets), own, ["total", "weight"])
+            total, *kind = self._lookup(n, own, own, "context", ["sum0", "sum1", "sum2", "sum3"])
+            weight = sum(d * x for d, x in zip(self.discounts[n], kind, strict=True)) / np.maximum(total, 1)
             total, weight = total[at], weight[at]
             p = np.where(total > 0, self._discounted(n, a)[where] / np.maximum(total, 1) + weight * p, p)
         return plain[back], base, np.log10(p)
 
 
+def bucket_counts(texts: DataFrame, order: int) -> dict[int, int]:
+    """Buckets of each order, from the size that Spark's catalog gives the table and the shuffle partitions; the lower orders have fewer,
+    as each bucket sends a block to all of these."""
+    spark = texts.sparkSession
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    some = SPLIT * partitions(spark)
+    if size < 1 << 60:  # known
+        some = max(1, min(some, size // LEAST), size // MOST)
+    return {n: some if n == order else max(1, some // 8) for n in range(1, order + 1)}
+
+
 def train(texts: DataFrame, order: int = ORDER) -> Model:
     """A model of the texts of a one-column DataFrame (text)."""
     spark = texts.sparkSession
     ready(spark)
-    buckets = SPLIT * partitions(spark)
-    # each bucket sends its contexts and the lower order to all of these, so they are fewer; unigrams stay in the bucket of their bigrams
-    context_buckets = max(1, partitions(spark) // 2)
+    buckets = bucket_counts(texts, order)
     uri = f"{shared_dir(spark)}/ngram/{uuid.uuid4().hex}"
-    stage = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(order, buckets), STAGE)
+    stage = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(order, buckets[order]), STAGE)
     discounts, stats, old = {}, [0] * 8, None
     for n in range(order, 0, -1):
-        done = written(stage.where(F.col("kind") == NEXT).groupBy("bucket").applyInPandas(_tier(n, context_buckets, uri), STAGE))
+        done = written(stage.where(F.col("kind") == NEXT).groupBy("bucket").applyInPandas(_tier(n, buckets.get(n - 1, 1), uri), STAGE))
         if old is not None:
             dropped(spark, old)
         rows = [np.frombuffer(r[0], np.int64) for r in done.where(F.col("kind") == STATS).select("packed").collect()]  # one row per bucket
         stats = np.sum(rows, axis=0).tolist() if rows else [0] * 8
         discounts[n] = discounts_of(*stats[:4])
-        if n > 1:
-            done.where(F.col("kind") == CONTEXT).groupBy("bucket").applyInPandas(_contexts(n, uri, discounts[n]), "n long").agg(F.sum("n")).collect()
         stage, old = done, done
     dropped(spark, old)
-    return Model(uri, order, buckets, context_buckets, discounts, stats)
+    return Model(uri, order, buckets, discounts, stats)
 
 
 def _scored(model: Model):
