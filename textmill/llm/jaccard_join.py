@@ -14,7 +14,9 @@ cluster share, so near copies meet through the hubs. Sets outside the cluster's
 every block, so each pair that may still link meets in one tree.
 
 Defined cases: A-Z are lowered; a text of fewer than five words is one shingle, its whole sequence; null, empty and blank texts have an
-empty set and link with nothing; rows with the same doc_id are one document; a null doc_id comes first; other columns aren't read.
+empty set and link with nothing; rows with the same doc_id and other text are documents of their own, of which each may link; a null
+doc_id comes first, and rows without one don't link for that; very long texts are whole sets; equal rows are one set; other columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -30,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm._bytes import LOWER, SHINGLE, Texts, U, chunks, distinct, mix
-from textmill.llm._shared import components, dropped, partitions, ready, written
+from textmill.llm._shared import components, dropped, fresh, partitions, ready, written
 
 ROWS, BANDS = 4, 64
 BLOCK = 4_000_000
 HUBS = 32
 LEAF, FAN = 8, 8
 FIRST = -(2**63)
-SCANNED = "doc_id long, digest binary, id long, n_shingles long, bucket int, packed binary"
+SCANNED = "doc_id long, copy long, digest binary, id long, n_shingles long, bucket int, packed binary"
 
 _rng = np.random.default_rng(7)
 _A, _B = (_rng.integers(0, 2**32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1) for _ in range(2))
@@ -80,7 +82,7 @@ def _scan(buckets: int):
 
         def out(**cols) -> pa.RecordBatch:
             n = len(next(iter(cols.values())))
-            fields = {"doc_id": pa.int64(), "digest": pa.binary(), "id": pa.int64(), "n_shingles": pa.int64(), "bucket": pa.int32(), "packed": pa.binary()}
+            fields = {"doc_id": pa.int64(), "copy": pa.int64(), "digest": pa.binary(), "id": pa.int64(), "n_shingles": pa.int64(), "bucket": pa.int32(), "packed": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array(cols[k], t) if k in cols else pa.nulls(n, t) for k, t in fields.items()], names=list(fields))
 
         def flush() -> pa.RecordBatch:
@@ -94,12 +96,12 @@ def _scan(buckets: int):
             return out(bucket=full, packed=packed)
 
         for batch in chunks(batches, "text"):
-            t = Texts(batch.column(1))
+            t = Texts(batch.column(2))
             names = digests(t)
             off, sets = distinct(*t.shingles())
             n = np.diff(off)
             own = np.array([int.from_bytes(x[:8], "little", signed=True) for x in names], np.int64)
-            yield out(doc_id=batch.column(0), digest=names, id=own, n_shingles=n)
+            yield out(doc_id=batch.column(0), copy=batch.column(1), digest=names, id=own, n_shingles=n)
             if len(seen) > 200_000:
                 seen.clear()
             fresh = []
@@ -249,11 +251,11 @@ def link(sets: list[np.ndarray], forest: Forest, num: int = 75, den: int = 100)
     return verified
 
 
-def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (task, node, digest, label, text) ordered by task -> (src, dst): each node and the smallest of its component in the task."""
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (task, id, digest, label, text) ordered by task -> (src, dst): each set and the smallest of its component in the task."""
     task, held = None, {}
 
-    def done() -> pd.DataFrame:
+    def done() -> pa.RecordBatch:
         nodes = sorted(held)
         of = {x: i for i, x in enumerate(nodes)}
         forest = Forest(len(nodes))
@@ -265,80 +267,103 @@ def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in same[1:]:
                 forest.join(same[0], b)
         link([held[x][0] for x in nodes], forest)
-        return pd.DataFrame({"src": [nodes[forest.find(i)] for i in range(len(nodes))], "dst": nodes})
+        return pa.RecordBatch.from_arrays([pa.array([nodes[forest.find(i)] for i in range(len(nodes))], pa.int64()), pa.array(nodes, pa.int64())], names=["src", "dst"])
 
-    out = []
-    for batch in batches:
-        t = Texts(pa.array(batch["text"], pa.large_string(), from_pandas=True))
+    for batch in chunks(batches, "text"):
+        t = Texts(batch.column(4))
         off, sets = distinct(*t.shingles())
         names = digests(t)
-        rows = zip(batch["task"].tolist(), batch["node"].tolist(), batch["digest"].tolist(), batch["label"].astype(object).where(batch["label"].notna(), None).tolist(), strict=True)
+        rows = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
         for i, (key, node, digest, label) in enumerate(rows):
             if key != task:
                 if held:
-                    out.append(done())
+                    yield done()
                 task, held = key, {}
-            if bytes(digest) == names[i] and off[i + 1] > off[i]:
+            if digest == names[i] and off[i + 1] > off[i]:
                 held[node] = (sets[off[i] : off[i + 1]].copy(), label)
-        if out:
-            yield pd.concat(out)
-            out = []
     if held:
         yield done()
 
 
+#: What a set is fetched by, named, and checked by.
+SET = ["node", "copy", "id", "digest"]
+
+
 def _linked(docs: DataFrame, work: DataFrame) -> DataFrame:
-    """(src, dst) from the trees of work, (task, node, digest, label); the texts are fetched by doc_id."""
+    """(src, dst) from the trees of work, (task, *SET, label); the texts are fetched by doc_id and hash."""
     # always the same join: the work grows with the input, so it must not depend on its size
-    texts = docs.join(work.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(FIRST)) == work["node"]).select("task", "node", "digest", "label", docs["text"])
-    return texts.repartition("task").sortWithinPartitions("task").mapInPandas(_resolve, "src long, dst long").where("src <> dst")
+    own = docs.select(F.coalesce("doc_id", F.lit(FIRST)).alias("node"), "copy", "text")
+    texts = own.join(work.hint("merge"), ["node", "copy"]).select("task", "id", "digest", "label", "text")
+    return texts.repartition("task").sortWithinPartitions("task").mapInArrow(_resolve, "src long, dst long").where("src <> dst")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of every document."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, node (doc_id, a null one as FIRST), copy (a hash of the text), n_shingles, low (the smallest node reachable by links) and component of every row."""
     spark = docs.sparkSession
     ready(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), F.col("text").cast("string").alias("text"))
     scanned = written(docs.mapInArrow(_scan(partitions(spark)), SCANNED))
-    rows = scanned.where("digest is not null").select(F.coalesce("doc_id", F.lit(FIRST)).alias("node"), "doc_id", "digest", "id", "n_shingles")
-    reps = written(rows.groupBy("digest").agg(F.min("node").alias("node"), F.first("id").alias("id"), F.first("n_shingles").alias("n_shingles")).where("n_shingles > 0"))
+    rows = scanned.where("digest is not null").select(F.coalesce("doc_id", F.lit(FIRST)).alias("node"), "doc_id", "copy", "digest", "id", "n_shingles")
+    first_row = F.min(F.struct("node", "copy"))
+    reps = written(rows.groupBy("digest").agg(first_row.alias("r"), F.first("id").alias("id"), F.first("n_shingles").alias("n_shingles")).where("n_shingles > 0").select("r.*", "id", "digest", "n_shingles"))
     edges = written(scanned.where("bucket is not null").select("bucket", "packed").groupBy("bucket").applyInPandas(_roots, "src long, dst long").distinct())
     roots = components(edges)
     dropped(spark, edges)
-    members = written(reps.join(roots.withColumnRenamed("component", "cluster"), "id").select("cluster", "node", "digest", "n_shingles", "id"))
+    members = written(reps.join(roots.withColumnRenamed("component", "cluster"), "id").select("cluster", *SET, "n_shingles"))
     dropped(spark, roots)
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("blocks"))
     big = written(blocks.where("blocks > 1"))
     none = F.lit(None).cast("long").alias("label")
     if big.isEmpty():
-        work = members.select(F.col("cluster").alias("task"), "node", "digest", none)
+        work = members.select(F.col("cluster").alias("task"), *SET, none)
         links = written(_linked(docs, work))
-        final = links.select(F.col("dst").alias("node"), F.col("src").alias("component"))
+        final = links.select(F.col("dst").alias("id"), F.col("src").alias("component"))
     else:
         dealt = members.join(big, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         dealt = written(dealt.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks"))))
-        hubs = dealt.where("blocks > 1").groupBy("cluster", "blocks").agg(F.slice(F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64("digest", F.lit(1)), F.greatest(F.lit(1), F.col("blocks") * 16)) == 0, F.struct(F.xxhash64("digest", F.lit(2)), "node", "digest")))), 1, HUBS).alias("hubs"))
-        hubs = hubs.select("cluster", "blocks", F.explode("hubs").alias("h")).select("cluster", F.col("h.node").alias("node"), F.col("h.digest").alias("digest"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+        hub = F.when(F.pmod(F.xxhash64("digest", F.lit(1)), F.greatest(F.lit(1), F.col("blocks") * 16)) == 0, F.struct(F.xxhash64("digest", F.lit(2)), *SET))
+        hubs = dealt.where("blocks > 1").groupBy("cluster", "blocks").agg(F.slice(F.sort_array(F.collect_set(hub)), 1, HUBS).alias("hubs"))
+        hubs = hubs.select("cluster", "blocks", F.explode("hubs").alias("h")).select("cluster", *(F.col(f"h.{c}").alias(c) for c in SET), every)
         task = F.xxhash64("cluster", "block").alias("task")
-        first = written(_linked(docs, dealt.select("cluster", "block", "node", "digest").unionByName(hubs.select("cluster", "block", "node", "digest")).distinct().select(task, "node", "digest", none)))
+        first = written(_linked(docs, dealt.select("cluster", "block", *SET).unionByName(hubs.select("cluster", "block", *SET)).distinct().select(task, *SET, none)))
         label = components(first)
-        labelled = written(dealt.join(label.select(F.col("id").alias("node"), F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        labelled = written(dealt.join(label.select("id", F.col("component").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id")))
         sizes = labelled.where("blocks > 1").groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
         main = sizes.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
         loose = labelled.join(main, "cluster").where("label <> main").withColumn("part", F.pmod(F.xxhash64("digest", F.lit(3)), F.col("blocks")))
-        spread = loose.select("cluster", "node", "digest", "label", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        spread = loose.select("cluster", *SET, "label", "part", every)
         parts = spread.select("cluster", "block", "part").distinct()
-        own = labelled.where("blocks > 1").join(parts, ["cluster", "block"]).select("cluster", "node", "digest", "label", "part", "block")
+        own = labelled.where("blocks > 1").join(parts, ["cluster", "block"]).select("cluster", *SET, "label", "part", "block")
         task = F.xxhash64("cluster", "block", "part").alias("task")
-        second = written(_linked(docs, own.unionByName(spread).distinct().select(task, "node", "digest", "label")))
-        final = components(first.unionByName(second)).select(F.col("id").alias("node"), "component")
-    by_digest = reps.join(final, "node").select("digest", "component")
-    out = rows.join(by_digest, "digest", "left").join(reps.select("digest", F.col("node").alias("rep")), "digest", "left")
-    low = F.coalesce("component", "rep", "node")
-    return out.select("doc_id", "n_shingles", F.when(low != FIRST, low).alias("component_id"))
+        second = written(_linked(docs, own.unionByName(spread).distinct().select(task, *SET, "label")))
+        final = components(first.unionByName(second)).select("id", "component")
+    # a component is known by its smallest doc_id
+    placed = reps.join(final, "id", "left").select("digest", "node", F.coalesce("component", "id").alias("component"))
+    low = placed.groupBy("component").agg(F.min("node").alias("low"))
+    by_digest = placed.join(low, "component").select("digest", "low", "component")
+    return rows.join(by_digest, "digest", "left").select("doc_id", "node", "copy", "n_shingles", F.coalesce("low", "node").alias("low"), "component")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included) of every document."""
+    return _grouped(docs).select("doc_id", "n_shingles", F.when(F.col("low") != FIRST, F.col("low")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near duplicates, the one with the smallest doc_id."""
-    extra = jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__extra")).distinct()
-    return docs.join(extra, docs["doc_id"] == extra["__extra"], "left_anti")
+    """docs with one document of each group of near duplicates: the one with the smallest doc_id, a null one first, and of texts
+    with the same doc_id that with the smallest hash. Rows that agree in doc_id and text stay together, but of those without
+    doc_id one stays; rows without words are in no group and stay."""
+    node, copy, one = (fresh(docs, x) for x in ("group_node", "group_copy", "group_row"))
+    members = written(_grouped(docs).where("n_shingles > 0").groupBy(F.col("node").alias(node), F.col("copy").alias(copy), "component").agg(F.count(F.lit(1)).alias("rows")))
+    first = members.groupBy("component").agg(F.min(F.struct(node, copy)).alias("first"))
+    extra = members.join(first, "component").where(F.struct(node, copy) != F.col("first")).select(node, copy)
+    keyed = docs.withColumn(node, F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST))).withColumn(copy, F.xxhash64("text"))
+    left = keyed.join(extra, [node, copy], "left_anti")
+    again = members.where((F.col(node) == FIRST) & (F.col("rows") > 1)).select(node, copy)
+    if again.isEmpty():
+        return left.select(*(f"`{c}`" for c in docs.columns))
+    # rows without doc_id and of one text meet before they are shuffled
+    rows = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    single = left.join(again, [node, copy], "left_semi").groupBy(node, copy).agg(F.first(rows).alias(one)).select(f"{one}.*")
+    return left.join(again, [node, copy], "left_anti").select(*(f"`{c}`" for c in docs.columns)).unionByName(single)
