@@ -6,16 +6,17 @@ smaller doc_id.
    has one at a place that its bytes alone decide. Anchors are dealt by hash, as 32 bits and a place. Those found in one
    document only can't lie in a repeat; most suffixes leave here. A wrong match of 32 bits only costs time.
 3. Around each anchor that is left stands a context: all strings it is the anchor of. Contexts are dealt by anchor and get a
-   suffix array by two-stage sorting: suffixes not larger than their successor are sorted directly, the others are induced from the bytes
-   down to the next direct suffix and that one's rank. Adjacent common prefixes then give the classes of equal strings, each with
-   its smallest doc_id.
+   suffix array by two-stage sorting: suffixes smaller than their successors are sorted directly; the others are induced by a scan over
+   the buckets of first bytes, in order, in which each takes its place after its successor's. The common prefixes of adjacent suffixes
+   then give the classes of equal strings, each with its smallest doc_id.
 4. A document's strings with a smaller doc_id in their class are joined back to its text and cut out.
 
 Hot groups: a task sends one entry of an anchor or context that several of its documents share, and the rest go on at once or are
 decided on the spot; contexts of an anchor with more than HOT entries are dealt string by string, by their own bytes.
 
 Defined cases: null is empty; texts under SIZE bytes lose nothing, even if they are copies; rows with the same doc_id never remove
-each other's bytes; a null doc_id is smaller than all others; texts are whole, matches never cross documents; other columns
+each other's bytes, and if their texts differ each is cut by its own repeats (all places then carry a hash of the text beside the
+doc_id); a null doc_id is smaller than all others, and all rows with one count as one document; texts are whole, matches never cross documents; other columns
 aren't read.
 """
 
@@ -42,7 +43,6 @@ FLUSH = 600_000
 CONTEXT_BYTES = 6 << 20
 #: Buckets per shuffle partition: a bucket is what a worker holds at once.
 SPLIT = 4
-CHAIN = 7
 _STEP = [U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -135,7 +135,7 @@ def _anchored(buckets: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal turn
-            doc, code, h = (np.concatenate(c) for c in zip(*held, strict=True))
+            doc, tag, code, h = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((doc, h))
             hs, ds = h[order], doc[order]
             new = np.append(True, hs[1:] != hs[:-1])
@@ -153,16 +153,16 @@ def _anchored(buckets: int):
             n[order[new]] = np.bincount(group)
             for b, some in _split(_bucket(h[ids], buckets), buckets):
                 k = ids[some]
-                rows.append((b, False, _pack(h[k].astype(np.uint32), doc[k], code[k], known[k], np.where(known[k], n[k], 1).astype(np.uint32))))
+                rows.append((b, False, _pack(h[k].astype(np.uint32), doc[k], tag[k], code[k], known[k], np.where(known[k], n[k], 1).astype(np.uint32))))
             rest = np.flatnonzero(known)
             if len(rest):
                 turn += 1
-                rows.append(((turn * 7919 + int(doc[rest[0]])) % buckets, True, _pack(doc[rest], code[rest])))
+                rows.append(((turn * 7919 + int(doc[rest[0]])) % buckets, True, _pack(doc[rest], tag[rest], code[rest])))
             return _batch(rows)
 
         for batch in chunks(batches, "text", 1 << 18):
             t = Texts(batch.column(1))
-            ids = np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+            ids, tags = (np.array(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (0, 2))
             text, place, first, last, h = anchors(t.data, t.off)
             fresh = np.ones(t.n, bool)
             for i in range(t.n):
@@ -178,7 +178,7 @@ def _anchored(buckets: int):
                 text, place, first, last, h = text[ok], place[ok], first[ok], last[ok], h[ok]
             if len(h):
                 code = ((place - t.off[text]) << 16) | ((place - first) << 8) | (last - place + WINDOW)
-                held.append((ids[text], code, _deal(h)))
+                held.append((ids[text], tags[text], code, _deal(h)))
                 size += len(h)
             if size >= FLUSH:
                 yield flush()
@@ -189,16 +189,19 @@ def _anchored(buckets: int):
     return anchored
 
 
+REPEATED = "doc_id long, tag long, code long, hot boolean"
+
+
 def _repeated(bucket: pd.DataFrame) -> pd.DataFrame:
-    """(doc_id, code, hot): the anchors of a bucket that two documents have, and an own row for each with over HOT entries."""
+    """(doc_id, tag, code, hot): the anchors of a bucket that two documents have, and an own row for each with over HOT entries."""
     b = int(bucket["bucket"].iloc[0])
-    out = [[*_unpack(x, np.int64, np.int64)] for x in bucket["packed"][bucket["known"]]]
+    out = [[*_unpack(x, np.int64, np.int64, np.int64)] for x in bucket["packed"][bucket["known"]]]
     hot = np.zeros(0, np.int64)
-    parts = [_unpack(x, np.uint32, np.int64, np.int64, bool, np.uint32) for x in bucket["packed"][~bucket["known"]]]
+    parts = [_unpack(x, np.uint32, np.int64, np.int64, np.int64, bool, np.uint32) for x in bucket["packed"][~bucket["known"]]]
     if parts:
-        h, doc, code, known, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        h, doc, tag, code, known, n = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.lexsort((doc, h))
-        h, doc, code, known, n = h[order], doc[order], code[order], known[order], n[order]
+        h, doc, tag, code, known, n = h[order], doc[order], tag[order], code[order], known[order], n[order]
         new = np.append(True, h[1:] != h[:-1])
         group = np.cumsum(new) - 1
         hit = np.zeros(group[-1] + 1, bool)
@@ -207,58 +210,84 @@ def _repeated(bucket: pd.DataFrame) -> pd.DataFrame:
         many = np.bincount(group, n) > HOT
         hot = h[new][many & hit].astype(np.int64) | b << 32
         ok = hit[group] & ~known
-        out.append([doc[ok], code[ok]])
-    doc, code = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pd.DataFrame({"doc_id": np.append(doc, np.full(len(hot), FIRST)), "code": np.append(code, hot), "hot": np.arange(len(doc) + len(hot)) >= len(doc)})
+        out.append([doc[ok], tag[ok], code[ok]])
+    doc, tag, code = (np.concatenate(c) for c in zip(*out, strict=True))
+    zero = np.zeros(len(hot), np.int64)
+    return pd.DataFrame({"doc_id": np.append(doc, zero), "tag": np.append(tag, zero), "code": np.append(code, hot), "hot": np.arange(len(doc) + len(hot)) >= len(doc)})
+
+
+def suffix_array(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places of data in the order of the SIZE bytes that follow them: all of starts, and those their order is induced from."""
+    padded = np.concatenate([data, np.zeros(SIZE + 1, np.uint8)])
+    cur, succ = padded[:-1], padded[1:]
+    # a suffix is larger than its successor if the first byte unlike its successor is smaller than it
+    here = np.where(cur != succ, np.arange(len(cur)), len(cur) - 1)
+    turn = np.minimum.accumulate(here[::-1])[::-1]
+    larger = cur[turn] > succ[turn]
+    direct = np.flatnonzero(~larger)
+    down = direct[np.searchsorted(direct, starts)]  # the last place is direct, as the padding ends there
+    need = np.zeros(len(padded) + 1, np.int32)
+    np.add.at(need, starts, 1)
+    np.add.at(need, down + 1, -1)
+    need = np.cumsum(need)[: len(cur)] > 0
+    # first stage: sort the direct ones
+    direct = np.flatnonzero(need & ~larger)
+    more = np.concatenate([padded, np.zeros(SIZE, np.uint8)])  # a direct one may begin in the padding
+    records = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(more, SIZE)[direct])
+    direct = direct[np.argsort(records.view(f"S{SIZE}").ravel())]
+    del records
+    # second stage: scan the buckets; a successor stands in an earlier one, or in the same one nearer to the end of a run of equal bytes
+    induced = np.flatnonzero(need & larger)
+    induced = induced[np.argsort(cur[induced], kind="stable")]
+    edge = np.searchsorted(cur[induced], np.arange(257))
+    cut = np.searchsorted(cur[direct], np.arange(257))
+    rank = np.full(len(padded), -1, np.int64)
+    out, made = [], 0
+
+    def place(some: np.ndarray) -> None:
+        nonlocal made
+        rank[some] = np.arange(made, made + len(some))
+        made += len(some)
+        out.append(some)
+
+    for c in range(256):
+        own = induced[edge[c] : edge[c + 1]]
+        while len(own):
+            ready_ = rank[own + 1] >= 0
+            some = own[ready_]
+            place(some[np.argsort(rank[some + 1])])
+            own = own[~ready_]
+        place(direct[cut[c] : cut[c + 1]])
+    return np.concatenate(out)
+
+
+def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each place in order but the first, how many of SIZE bytes it shares with the one before it."""
+    windows = np.lib.stride_tricks.sliding_window_view(data, SIZE)
+    out = np.empty(max(0, len(order) - 1), np.uint8)
+    for at in range(0, len(out), 1 << 17):
+        to = min(len(out), at + (1 << 17))
+        differ = windows[order[at + 1 : to + 1]] != windows[order[at:to]]
+        out[at:to] = np.where(differ.any(1), differ.argmax(1), SIZE)
+    return out
 
 
 def classes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A number for each start, equal for equal data[start : start + SIZE], by two-stage suffix sorting.
+    """A number for each start, equal for equal data[start : start + SIZE]: the intervals of a suffix array.
 
     data has SIZE bytes or more after every start.
     """
-    padded = np.concatenate([data, np.zeros(SIZE + 1, np.uint8)])
-    fall = padded[:-1] > padded[1:]  # larger than its successor: induced
-    # bytes down to the next direct suffix; every CHAIN + 1st of a longer fall is direct, too
-    rise = np.flatnonzero(~fall)
-    nxt = np.searchsorted(rise, starts)
-    depth = np.minimum(rise[np.minimum(nxt, len(rise) - 1)] - starts, CHAIN)
-    down = starts + depth
-    direct, where = np.unique(down, return_inverse=True)
-    records = np.lib.stride_tricks.sliding_window_view(padded, SIZE)[direct]
-    order = np.argsort(np.ascontiguousarray(records).view(f"S{SIZE}").ravel())
-    common = np.empty(len(order), np.uint8)
-    common[:1] = 0
-    for at in range(1, len(order), 1 << 17):
-        to = min(len(order), at + (1 << 17))
-        differ = records[order[at:to]] != records[order[at - 1 : to - 1]]
-        common[at:to] = np.where(differ.any(1), differ.argmax(1), SIZE)
-    del records
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    rank = rank[where]
-    out = np.empty(len(starts), np.int64)
-    made = 0
-    for d in range(CHAIN + 1):
-        some = np.flatnonzero(depth == d)
-        if not len(some):
-            continue
-        of = np.cumsum(common < SIZE - d)[rank[some]]
-        if d:
-            head = np.zeros(len(some), np.int64)
-            for k in range(d):
-                head = head << 8 | padded[starts[some] + k]
-            by = np.lexsort((of, head))
-            new = np.append(True, (of[by][1:] != of[by][:-1]) | (head[by][1:] != head[by][:-1]))
-            of = np.empty(len(some), np.int64)
-            of[by] = np.cumsum(new)
-        out[some] = of + made
-        made += int(of.max()) + 1
-    return out
+    order = suffix_array(data, starts)
+    mine = np.zeros(int(order.max()) + 1, bool)
+    mine[starts] = True
+    order = order[mine[order]]
+    number = np.zeros(len(mine), np.int64)
+    number[order] = np.concatenate([[0], np.cumsum(common_prefixes(data, order) < SIZE)])
+    return number[starts]
 
 
-def decide(doc: np.ndarray, first: np.ndarray, length: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_id, a, b): runs of starts a to b of strings that a document with a smaller doc_id of these contexts has, too.
+def decide(doc: np.ndarray, tag: np.ndarray, first: np.ndarray, length: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc_id, tag, a, b): runs of starts a to b of strings that a document with a smaller doc_id of these contexts has, too.
 
     Context i is length[i] bytes of data, in order, from place first[i] of document doc[i].
     """
@@ -272,23 +301,23 @@ def decide(doc: np.ndarray, first: np.ndarray, length: np.ndarray, data: np.ndar
     gone = np.flatnonzero(least[kind] < doc[of])
     if not len(gone):
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, none
     new = np.append(True, (gone[1:] != gone[:-1] + 1) | (of[gone[1:]] != of[gone[:-1]]))
     a = gone[new]
     b = gone[np.append(np.flatnonzero(new)[1:], len(gone)) - 1]
     c = of[a]
-    return doc[c], first[c] + starts[a] - at[c], first[c] + starts[b] - at[c]
+    return doc[c], tag[c], first[c] + starts[a] - at[c], first[c] + starts[b] - at[c]
 
 
 def _contexts(buckets: int, hot_keys):
-    """Contexts of (doc_id, text, codes), dealt by anchor; equal contexts of a task are decided here but for the smallest doc_id."""
+    """Contexts of (doc_id, text, codes, tag), dealt by anchor; equal contexts of a task are decided here but for the smallest doc_id."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, turn = [], 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal turn
-            doc, first, length, key, content, data = (np.concatenate(h) for h in zip(*held, strict=True))
+            doc, tag, first, length, key, content, data = (np.concatenate(h) for h in zip(*held, strict=True))
             at = np.cumsum(length) - length
             order = np.lexsort((first, doc, content))
             new = np.append(True, content[order][1:] != content[order][:-1])
@@ -297,17 +326,17 @@ def _contexts(buckets: int, hot_keys):
             known = order[owner < doc[order]]
             if len(known):
                 turn += 1
-                rows.append(((turn * 7919 + int(doc[known[0]])) % buckets, True, _pack(doc[known], first[known], first[known] + length[known] - SIZE)))
+                rows.append(((turn * 7919 + int(doc[known[0]])) % buckets, True, _pack(doc[known], tag[known], first[known], first[known] + length[known] - SIZE)))
             send = np.sort(order[owner == doc[order]])
             for b, some in _split(_bucket(key[send], buckets), buckets):
                 k = send[some]
                 inside = np.repeat(at[k] - (np.cumsum(length[k]) - length[k]), length[k]) + np.arange(length[k].sum())
-                rows.append((b, False, _pack(doc[k], first[k], length[k], data[inside])))
+                rows.append((b, False, _pack(doc[k], tag[k], first[k], length[k], data[inside])))
             return _batch(rows)
 
         for batch in chunks(batches, "text", 1 << 19):
             t = Texts(batch.column(1))
-            ids = np.array(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+            ids, tags = (np.array(batch.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (0, 3))
             codes = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
             off = codes.offsets.to_numpy()
             code = codes.values.to_numpy()[off[0] : off[-1]]
@@ -328,7 +357,7 @@ def _contexts(buckets: int, hot_keys):
             inside = np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
             own = t.data[inside]
             at = np.cumsum(length) - length
-            held.append((ids[text], first - t.off[text], length, key, spans_hash(own, at, at + length), own))
+            held.append((ids[text], tags[text], first - t.off[text], length, key, spans_hash(own, at, at + length), own))
             size += len(inside)
             if size >= CONTEXT_BYTES:
                 yield flush()
@@ -340,15 +369,15 @@ def _contexts(buckets: int, hot_keys):
 
 
 def _decided(bucket: pd.DataFrame) -> pd.DataFrame:
-    out = [_unpack(x, np.int64, np.int64, np.int64) for x in bucket["packed"][bucket["known"]]]
-    parts = [_unpack(x, np.int64, np.int64, np.int64, np.uint8) for x in bucket["packed"][~bucket["known"]]]
+    out = [_unpack(x, np.int64, np.int64, np.int64, np.int64) for x in bucket["packed"][bucket["known"]]]
+    parts = [_unpack(x, np.int64, np.int64, np.int64, np.int64, np.uint8) for x in bucket["packed"][~bucket["known"]]]
     if parts:
         out.append(decide(*(np.concatenate(c) for c in zip(*parts, strict=True))))
-    doc, a, b = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pd.DataFrame({"doc_id": doc, "span": a << 32 | b})
+    doc, tag, a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+    return pd.DataFrame({"doc_id": doc, "tag": tag, "span": a << 32 | b})
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+RESULT = "doc_id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def _cut(with_text: bool):
@@ -375,7 +404,7 @@ def _cut(with_text: bool):
                     kept, removed, runs = raw.tobytes(), 0, 0
                 rows.append((n, removed, runs, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             cols = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in cols)], names=[x.split()[0] for x in RESULT.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), *(pa.array(c, k) for c, k in cols)], names=[x.split()[0] for x in RESULT.split(", ")])
 
     return cut
 
@@ -385,20 +414,25 @@ def dedup_suffixes(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     ready(spark)
     buckets = SPLIT * partitions(spark)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    digests = docs.where(F.octet_length("text") >= SIZE).select("doc_id", F.unhex(F.md5("text")).alias("digest"))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").isNull().alias("no_id"))
+    digests = docs.where(F.octet_length("text") >= SIZE).select("doc_id", F.unhex(F.md5("text")).alias("digest"), F.xxhash64("text").alias("tag"))
+    several = digests.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a < b")
+    # a doc_id says which text it is unless some doc_id has two
+    one = several.isEmpty()
+    docs = docs.withColumn("tag", F.lit(0).cast("long") if one else F.xxhash64("text"))
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = written(digests.join(least, "digest").where("doc_id > least").select("doc_id", "digest").distinct())
-    dealt = docs.mapInArrow(_anchored(buckets), DEALT)
-    repeated = written(dealt.groupBy("bucket").applyInPandas(_repeated, "doc_id long, code long, hot boolean"))
+    copies = digests.join(least, "digest").where("doc_id > least").select("doc_id", (F.lit(0).cast("long") if one else F.col("tag")).alias("tag"), F.col("digest").alias("copy"))
+    copies = written(copies.distinct())
+    dealt = docs.select("doc_id", "text", "tag").mapInArrow(_anchored(buckets), DEALT)
+    repeated = written(dealt.groupBy("bucket").applyInPandas(_repeated, REPEATED))
     # fewer than entries / HOT rows; as numbers, 8 bytes each
     hot = spark.sparkContext.broadcast(np.array([r[0] for r in repeated.where("hot").select("code").collect()], np.int64))
-    codes = repeated.where("not hot").groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
-    around = docs.join(codes, "doc_id").select("doc_id", "text", "codes")
-    around = around.join(copies.withColumnRenamed("digest", "copy"), "doc_id", "left").where("copy is null or copy <> unhex(md5(text))").select("doc_id", "text", "codes")
-    decided = written(around.mapInArrow(_contexts(buckets, hot), DEALT).groupBy("bucket").applyInPandas(_decided, "doc_id long, span long"))
-    spans = decided.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    own = docs.join(spans, "doc_id", "left").join(copies.withColumnRenamed("digest", "copy"), "doc_id", "left")
-    own = own.select("doc_id", "text", (F.col("copy").isNotNull() & (F.col("copy") == F.unhex(F.md5("text")))).alias("copied"), "spans")
-    out = own.mapInArrow(_cut(with_text), RESULT).withColumn("doc_id", F.when(F.col("doc_id") != FIRST, F.col("doc_id")))
+    key = ["doc_id", "tag"]
+    same = F.col("copy") == F.unhex(F.md5("text"))
+    codes = repeated.where("not hot").groupBy(key).agg(F.collect_set("code").alias("codes")).join(copies, key, "left")
+    around = docs.join(codes, key).where(F.col("copy").isNull() | ~same).select("doc_id", "text", "codes", "tag")
+    decided = written(around.mapInArrow(_contexts(buckets, hot), DEALT).groupBy("bucket").applyInPandas(_decided, "doc_id long, tag long, span long"))
+    marks = decided.groupBy(key).agg(F.collect_list("span").alias("spans")).join(copies, key, "full")
+    own = docs.join(marks, key, "left").select("doc_id", "text", (F.col("copy").isNotNull() & same).alias("copied"), "spans", "no_id")
+    out = own.mapInArrow(_cut(with_text), RESULT).withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
     return out if with_text else out.drop("kept")
