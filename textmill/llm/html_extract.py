@@ -1,13 +1,14 @@
 """Main text of HTML pages by tree scoring.
 
 The page becomes a tree of elements, forgiving about tags that are left open. Parts that can't be article text are cut off: by
-element (nav, header, footer, aside, form, script, style ...) and by the words in class, id and role, but for wrappers of the
-article. Blocks of text pass
-points for length and commas to their ancestors, each level up half as many, and a container's points are discounted by its link
-density. The best container is kept with those of its siblings that score well or read like prose.
+element (nav, header, footer, aside, script, style ...); forms, and what the words in class, id and role speak against, too, but
+for wrappers of the article. Blocks of text pass points for length and commas to their ancestors, each level up half as many, and
+a container's points are discounted by its link density. The best container is kept with those of its siblings that score well or
+read like prose. Elements nested more than DEPTH deep count as children of the one at that depth; their text stays.
 
 Defined cases: null or empty html gives an empty text; markup without any block of text gives an empty text; very long pages
-are read whole; repeated rows are treated one by one.
+are read whole; page_ids are 64-bit and may be null; repeated rows, ties included, are treated one by one, and of equally good
+containers the first on the page is the best; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -16,18 +17,19 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.llm._bytes import chunks
 from textmill.llm._shared import ready
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|aria-hidden|hidden|style|itemprop)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math textarea select title noembed noframes canvas".split())
-CUT = frozenset("nav header footer aside form button dialog menu fieldset label input option datalist audio video map head".split()) | RAW
-BLOCK = frozenset("p div article section main body html ul ol li table tr td th thead tbody tfoot caption blockquote pre h1 h2 h3 h4 h5 h6 dl dt dd figure figcaption address hr details summary center hgroup".split()) | CUT - {"label", "input", "button", "option"}
+CUT = frozenset("nav header footer aside button dialog menu fieldset label input option datalist audio video map head".split()) | RAW
+BLOCK = frozenset("p div article section main body html ul ol li table tr td th thead tbody tfoot caption blockquote pre h1 h2 h3 h4 h5 h6 dl dt dd figure figcaption address hr details summary center hgroup form".split()) | CUT - {"label", "input", "button", "option"}
 #: An opening tag ends these open ones.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -48,6 +50,7 @@ BAD = re.compile(
 GOOD = re.compile(r"article|body|content|entry|main|page|post|story|text|blog|prose", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACES = re.compile(r"\s+")
+DEPTH = 256
 
 
 class Node:
@@ -61,6 +64,11 @@ class Node:
         self.points, self.chars, self.link_chars, self.blocks = 0.0, 0, 0, []
 
 
+def _soft(name: str, named: str) -> bool:
+    """Whether an element goes unless it wraps the article."""
+    return name == "form" or name not in ("body", "html", "article", "main") and _named_bad(named)
+
+
 def _named_bad(named: str) -> bool:
     """Whether words of class, id and role mark no article text: one is bad, and none is good without a bad part."""
     if not BAD.search(named):
@@ -86,20 +94,30 @@ def spare(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> list[tuple[
     if not softs:
         return blocks
     bodies = [n for n in nodes if n.name in ("article", "main") and not n.bad]
-    size = sum(len(b[1]) for b in blocks)
     free = lambda n: not any(x.soft for x in _above(n))
+    chars, holds = [0] * len(nodes), [False] * len(nodes)
+    for n, text, _ in blocks:
+        chars[n.order] += len(text)
+    for n in bodies:
+        holds[n.order] = True
+    for n in reversed(nodes[1:]):  # a parent stands before its children
+        chars[n.parent.order] += chars[n.order]
+        holds[n.parent.order] |= holds[n.order]
     found = any(free(n) for n in bodies)
     prose = found or any(len(t) > 80 and links < 0.25 * len(t) and free(n) for n, t, links in blocks)
-    for soft in softs:
+    # the likeliest wrapper first: one that is called like an article, or a form, by its text
+    for soft in sorted(softs, key=lambda n: (not n.good and n.name != "form", -chars[n.order], n.order)):
         if found or prose and not bodies:
             break
         if soft.parent is not None and not free(soft.parent):
             continue
-        inside = lambda n, soft=soft: any(x is soft for x in _above(n))
-        if any(inside(n) for n in bodies) or not bodies and sum(len(t) for n, t, _ in blocks if inside(n)) > size / 2:
+        likely = soft.good or soft.name == "form"
+        if holds[soft.order] or not bodies and (likely or chars[soft.order] > chars[0] / 2):
             soft.soft = False
             found = any(free(n) for n in bodies)
             prose = found or any(len(t) > 80 and links < 0.25 * len(t) and free(n) for n, t, links in blocks)
+            if not prose and not holds[soft.order]:
+                soft.soft = True
     return [b for b in blocks if free(b[0])]
 
 
@@ -198,7 +216,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
             words = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3] else {}
             named = f"{words.get('class', '')} {words.get('id', '')} {words.get('role', '')}"
             bad = name in CUT or "hidden" in words or words.get("aria-hidden") == "true" or "display:none" in words.get("style", "").replace(" ", "")
-            node = Node(name, stack[-1], stack[-1].bad or bad, name in ("article", "main") or words.get("role") == "main" or "articlebody" in words.get("itemprop", "").lower() or bool(GOOD.search(named)), len(nodes), name not in ("body", "html", "article", "main") and _named_bad(named))
+            node = Node(name, stack[min(len(stack), DEPTH) - 1], stack[-1].bad or bad, name in ("article", "main") or words.get("role") == "main" or "articlebody" in words.get("itemprop", "").lower() or bool(GOOD.search(named)), len(nodes), _soft(name, named) or len(stack) > DEPTH and stack[-1].soft)
             nodes.append(node)
             if not m[3].endswith("/"):
                 stack.append(node)
@@ -252,13 +270,13 @@ def extract(page: str | None) -> str:
     return "\n".join(blocks[i][1] for i in sorted(keep))
 
 
-def _extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        text = [extract(h) for h in batch["html"]]
-        yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, "html"):
+        text = [extract(h) for h in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page; a narrow map over the rows, without a shuffle."""
-    ready(pages.sparkSession, 200)
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInPandas(_extracted, "page_id long, url string, text string, n_chars long")
+    ready(pages.sparkSession)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
