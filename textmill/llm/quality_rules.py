@@ -2,8 +2,12 @@
 
 Each document gets two histograms: of the character classes of its text and of the common words among its words. The
 reference of a language is the mean histogram of its documents that pass the base rules, taken over all documents. A document
-is rejected if its Jensen-Shannon distance to its language's reference is over a limit; a histogram of too few counts isn't
-judged (the minimum-length guards).
+is rejected if its Jensen-Shannon distances to its language's reference are over limits: either distance alone over a high one,
+or both over lower ones.
+
+The minimum-length guard is the distance that a document of its number of counts would have if it were drawn from the reference
+itself: it is taken off before a distance is compared, so a short text needs a larger one, and one of a few counts can't be
+rejected by its histogram at all. A bin seldom met adds less to that noise than a common one, 1 / (8 n ln 2) at most.
 
 Defined cases: a null or empty text has no words and fails the base rule on length; a null language is a language of its own
 ("und"); a language without any document that passes the base rules judges nothing; repeated rows are judged one by one;
@@ -12,6 +16,7 @@ other columns pass by untouched and may have any name, as results are keyed by t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,18 +149,27 @@ def js_distance(counts: str, ref: str) -> F.Column:
     return F.when((total > 0) & F.col(ref).isNotNull(), F.sqrt(F.greatest(F.lit(0.0), F.aggregate(term, F.lit(0.0), lambda a, x: a + x))))
 
 
-def verdicts(docs: DataFrame, max_distance: float = 0.3, both: tuple[float, float] = (0.125, 0.3), min_chars: int = 300, min_words: int = 100) -> DataFrame:
+def noise(counts: str, ref: str) -> F.Column:
+    """The distance to a reference that sampling alone gives a histogram of as many counts; null without a reference or counts."""
+    total = F.col(f"{counts}_sum").cast("double")
+    bins = F.aggregate(ref, F.lit(0.0), lambda a, q: a + F.least(F.lit(1.0), 8 * math.log(2) * total * q))
+    return F.when((total > 0) & F.col(ref).isNotNull(), F.sqrt(bins / (8 * math.log(2) * total)))
+
+
+def verdicts(docs: DataFrame, alone: tuple[float, float] = (0.3, 0.2), both: tuple[float, float] = (0.08, 0.15)) -> DataFrame:
     """doc_id, copy (a hash of the text), the base counts, base_failed, kept, class_distance and common_distance of every document.
 
-    Rejected are a class distance over max_distance, judged from min_chars characters on, and a class distance together with
-    a common-word distance over `both`, judged from min_words words on. The features are written once to the shared folder,
-    so the texts are read once; the references (a row per language) are joined back.
+    Rejected are a class distance of over alone[0] more than twice its noise, a common-word distance of over alone[1] more than its
+    noise, and a class distance of over both[0] more than its noise together with a common-word distance of over both[1] more than 0.7 of
+    its noise. The features are written once to the shared
+    folder, so the texts are read once; the references (a row per language) are joined back.
     """
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     measured = written(features(docs).withColumns({"base_failed": base, "classes_sum": _sum("classes"), "common_sum": _sum("common")}))
     far = measured.join(references(measured), "lang", "left").withColumns({"class_distance": js_distance("classes", "ref_classes"), "common_distance": js_distance("common", "ref_common")})
-    classes, common = (F.coalesce(f"{c}_distance", F.lit(0.0)) for c in ("class", "common"))
-    odd = (F.col("classes_sum") >= min_chars) & (classes > max_distance) | (F.col("n_words") >= min_words) & (classes > both[0]) & (common > both[1])
+    far = far.withColumns({"class_noise": noise("classes", "ref_classes"), "common_noise": noise("common", "ref_common")})
+    over = lambda c, least, times=1.0: F.coalesce(F.col(f"{c}_distance") - times * F.col(f"{c}_noise") > least, F.lit(False))
+    odd = over("class", alone[0], 2.0) | over("common", alone[1]) | over("class", both[0]) & over("common", both[1], 0.7)
     return far.select("doc_id", "copy", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "class_distance", "common_distance")
 
 
@@ -166,5 +180,5 @@ def quality_rules(docs: DataFrame, **limits) -> DataFrame:
 
 def kept_documents(docs: DataFrame, **limits) -> DataFrame:
     """docs without the documents that the rules reject."""
-    bad = verdicts(docs, **limits).where("not kept").select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__doc"]) & (F.xxhash64(docs["text"]) == bad["__copy"]), "left_anti")
+    bad = verdicts(docs, **limits).where("not kept").select(F.col("doc_id").alias("bad_doc"), F.col("copy").alias("bad_copy")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_doc"]) & (F.xxhash64(docs["text"]) == bad["bad_copy"]), "left_anti")
