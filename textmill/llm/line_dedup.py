@@ -1,7 +1,8 @@
 """Line deduplication by a suffix array over line ids, built by distributed prefix doubling.
 
 A document is a sequence of line ids; the corpus order is by doc_id, then by line. A line goes if it lies in a run of consecutive
-lines that has min_words words at least and begins earlier in the corpus, too; the first copy of a run always stays.
+lines that has min_words words at least and begins earlier in the corpus, too; the first copy of a run always stays. The
+registered MIN_WORDS is 3: a repeated line of three words goes, one or two words (a list's "Yes.", a bare heading) only in a run.
 
 Only suffixes that start with a repeated line can share anything. Prefix doubling sorts those into classes: round j names the first
 2^j lines of a suffix by the names of their two halves, and only suffixes tied with another go on. A suffix needs to be
@@ -11,12 +12,13 @@ Every line of a maximal repeated run lies in such a shortest run that starts or
 later members together are exactly the runs to delete.
 
 Rounds shuffle only tied suffixes, as (name, document, line). A very common line is one large group there; its members
-meet only in sums and in joins that Spark can split, and are never gathered.
+meet in sums that tasks combine before the shuffle, and in joins whose other side holds one row per group. The groups with over
+1 / HOT of the rows, HOT at most, are broadcast to their members, so these aren't dealt by the group at all.
 
 Defined cases: null and empty texts come back as they are; lines are compared as bytes, without their \\n; lines without a
 word go only inside a longer run; a document that loses all its lines gets an empty text; equal rows are one document and all
 stay alike; rows with the same doc_id and other text are ordered by a hash of the text; a null doc_id comes first; columns
-other than doc_id and text pass through, whatever their names.
+other than doc_id and text pass through, whatever their names ("n_lines_removed" gets underscores while docs has such a column).
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.llm._bytes import Texts, chunks
-from textmill.llm._shared import dropped, ready, union, written
+from textmill.llm._shared import dropped, fresh, ready, union, written
 
+MIN_WORDS = 3
+HOT = 1000
 LINES = "doc_id long, copy long, line int, name binary, words int"
 _KEY = ["doc_id", "copy"]
 
@@ -80,23 +84,33 @@ def _shortest(min_words: int):
     return runs
 
 
+def _of_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "n") -> DataFrame:
+    """rows joined with groups, one row per key with the group's size: the few large groups by broadcast, the others by shuffle."""
+    groups = written(groups)
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = groups.where(F.col(size) * HOT > total).drop(size)  # fewer than HOT rows
+    small = groups.where(F.col(size) * HOT <= total).drop(size)
+    rest = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(large), keys).unionByName(rest.join(small, keys))
+
+
 def _tied(named: DataFrame) -> DataFrame:
     """The rows of (doc_id, copy, line, name) whose name another place has, too."""
-    twice = named.groupBy("name").agg(F.min(F.struct(*_KEY, "line")).alias("a"), F.max(F.struct(*_KEY, "line")).alias("b")).where("a < b").select("name")
-    return named.join(twice, "name", "left_semi")
+    twice = named.groupBy("name").agg(F.min(F.struct(*_KEY, "line")).alias("a"), F.max(F.struct(*_KEY, "line")).alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("name", "n")
+    return _of_groups(named, twice, ["name"])
 
 
 def _at(level: DataFrame, shift: Column | int, name: str) -> DataFrame:
     return level.select(*_KEY, (F.col("line") - shift).alias("line"), F.col("name").alias(name))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, copy, line): the lines to delete, each once; doc_id and copy as in _key()."""
     spark = docs.sparkSession
     ready(spark)
     doc_id, copy = _key()
     lines = written(docs.select(doc_id.alias("doc_id"), copy.alias("copy"), "text").mapInArrow(_lines, LINES).distinct())
-    tied = written(_tied(lines.select(*_KEY, "line", "name")).join(lines.select(*_KEY, "line", "words"), [*_KEY, "line"]))
+    tied = written(_tied(lines))
     dropped(spark, lines)
     runs = written(
         tied.groupBy(*_KEY).agg(F.sort_array(F.collect_list(F.struct("line", "words"))).alias("lines")).mapInPandas(_shortest(min_words), "doc_id long, copy long, line int, size int")
@@ -120,16 +134,18 @@ def repeated_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
         return runs.select(*_KEY, "line")
     every = written(union(named))
     here = F.struct(*_KEY, "line")
-    first = every.groupBy("size", "head", "tail").agg(F.min(here).alias("first"), F.max(here).alias("last")).where("first < last").drop("last")
-    later = every.join(first, ["size", "head", "tail"]).where(F.col("first") < here)
+    run = ["size", "head", "tail"]
+    first = every.groupBy(*run).agg(F.min(here).alias("first"), F.max(here).alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
+    later = _of_groups(every, first, run).where(F.col("first") < here)
     return later.select(*_KEY, F.explode(F.sequence("line", F.col("line") + F.col("size") - 1)).alias("line")).distinct()
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the text that is left, and n_lines_removed (int)."""
     doc_id, copy = _key()
-    gone = repeated_lines(docs, min_words).groupBy(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy")).agg(F.collect_set("line").alias("__gone"))
-    out = docs.join(gone, (doc_id == gone["__doc"]) & (copy == gone["__copy"]), "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left))
-    return out.withColumn("n_lines_removed", F.coalesce(F.size("__gone"), F.lit(0))).drop("__doc", "__copy", "__gone")
+    doc, twin, out, removed = (fresh(docs, x) for x in ("gone_doc", "gone_copy", "gone_lines", "n_lines_removed"))
+    gone = repeated_lines(docs, min_words).groupBy(F.col("doc_id").alias(doc), F.col("copy").alias(twin)).agg(F.collect_set("line").alias(out))
+    both = docs.join(gone, (doc_id == gone[doc]) & (copy == gone[twin]), "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(out, i)), "\n")
+    both = both.withColumn("text", F.when(F.col(out).isNull(), F.col("text")).otherwise(left))
+    return both.withColumn(removed, F.coalesce(F.size(out), F.lit(0))).drop(doc, twin, out)
