@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textmill.llm.license_scan import KEYWORDS, TEMPLATES
+from textmill.llm.license_scan import TEMPLATES
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
@@ -34,7 +34,7 @@ SELECT doc_id, item_id, start AS start_word, n_words, similarity FROM q WHERE si
 
 OP8 = r"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM t),
 w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l), k AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS cum FROM w),
-r AS (SELECT a.doc_id, a.i AS a, min(b.i) AS b FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.i >= a.i AND b.cum - a.cum + a.w >= 10 GROUP BY 1, 2 UNION SELECT b.doc_id, max(a.i), b.i FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.i >= a.i AND b.cum - a.cum + a.w >= 10 GROUP BY b.doc_id, b.i),
+r AS (SELECT a.doc_id, a.i AS a, min(b.i) AS b FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.i >= a.i AND b.cum - a.cum + a.w >= 3 GROUP BY 1, 2 UNION SELECT b.doc_id, max(a.i), b.i FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.i >= a.i AND b.cum - a.cum + a.w >= 3 GROUP BY b.doc_id, b.i),
 c AS (SELECT r.doc_id, r.a, r.b, string_agg(l.line, chr(10) ORDER BY l.i) AS content FROM r JOIN l ON l.doc_id = r.doc_id AND l.i BETWEEN r.a AND r.b GROUP BY ALL),
 f AS (SELECT *, min(doc_id * 1000000 + a) OVER (PARTITION BY content) AS first FROM c), g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM f WHERE doc_id * 1000000 + a > first),
 x AS (SELECT l.doc_id, count(g.i) AS n_removed, coalesce(string_agg(CASE WHEN g.i IS NULL THEN l.line END, chr(10) ORDER BY l.i), '') AS kept FROM l LEFT JOIN g USING (doc_id, i) GROUP BY l.doc_id)
@@ -42,13 +42,15 @@ SELECT doc_id, n_removed, length(kept)::BIGINT AS n_chars_kept, md5(kept) AS kep
 
 
 def _op10() -> str:
+    """All grid windows of all documents that share a shingle with a template: neither keywords nor MinHashes."""
     known = ", ".join(f"('{k}', '{t.replace(chr(39), chr(39) * 2)}')" for k, t in TEMPLATES.items())
-    keyword = " OR ".join(f"contains(lower(text), '{k}')" for k in KEYWORDS)
-    sh = "list_distinct(list_transform(range(1, len({0}) - 3), lambda i: array_to_string({0}[i : i + 4], ' ')))"
-    return f"""WITH k(license_id, text) AS (VALUES {known}), t AS (SELECT license_id, {_words("text")} AS w FROM k), t2 AS (SELECT license_id, len(w) AS size, greatest(1, len(w) // 8) AS stride, {sh.format("w")} AS sh FROM t),
-d AS (SELECT doc_id, {_words("text")} AS w FROM documents WHERE {keyword}), v AS (SELECT doc_id, license_id, w, size, stride, sh, unnest(list_distinct(list_append(range(0, greatest(len(w) - size, 0) + 1, stride), greatest(len(w) - size, 0)))) AS start FROM d, t2 WHERE len(w) >= 5),
-x AS (SELECT doc_id, license_id, sh, w[greatest(start - stride, 0) + 1 : start + size + stride] AS wide FROM v), y AS (SELECT doc_id, license_id, len(list_intersect({sh.format("wide")}, sh))::DOUBLE / len(sh) AS containment FROM x)
-SELECT doc_id, license_id, max(containment) AS containment FROM y WHERE containment >= 0.75 GROUP BY ALL"""
+    return f"""WITH k(license_id, text) AS (VALUES {known}), t AS (SELECT license_id, {_words("text")} AS w, len(w) AS size, greatest(1, len(w) // 8) AS stride FROM k),
+ts AS (SELECT DISTINCT license_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS sh FROM t), tn AS (SELECT license_id, count(*) AS total FROM ts GROUP BY 1),
+d AS (SELECT doc_id, {_words("text")} AS w, len(w) AS n FROM documents), ds AS (SELECT doc_id, n, unnest(range(n - 4)) AS i, unnest(list_transform(range(1, n - 3), lambda k: array_to_string(w[k : k + 4], ' '))) AS sh FROM d WHERE n >= 5),
+h AS (SELECT doc_id, license_id, n, i, sh, size, stride, greatest(n - size, 0) AS last FROM ds JOIN ts USING (sh) JOIN t USING (license_id)),
+v AS (SELECT DISTINCT doc_id, license_id, unnest(list_append(list_transform(range(greatest(0, (i + 5 - size - stride) // stride), (i + stride) // stride + 1), lambda k: least(k * stride, last)), last)) AS start FROM h),
+c AS (SELECT h.doc_id, h.license_id, v.start, count(DISTINCT sh) AS c FROM v JOIN h ON h.doc_id = v.doc_id AND h.license_id = v.license_id AND h.i >= greatest(v.start - h.stride, 0) AND h.i + 5 <= least(h.n, v.start + h.size + h.stride) GROUP BY ALL)
+SELECT doc_id, license_id, max(c)::DOUBLE / any_value(total) AS containment FROM c JOIN tn USING (license_id) GROUP BY doc_id, license_id HAVING max(c)::DOUBLE / any_value(total) >= 0.75"""
 
 
 ORACLE_SQL: dict[str, str] = {"op2_decontaminate": OP2, "op4_jaccard_join": OP4, "op8_line_dedup": OP8, "op10_license_scan": _op10()}
