@@ -65,6 +65,55 @@ def test_mix_reaches_targets(spark, monkeypatch):
     assert got.sort_values(key).taken.tolist() == again.sort_values(key).taken.tolist()
 
 
+def filled(sizes, cap=3.0):
+    """Targets by sources in order, by bisection of the words per weight."""
+    w = [(1.0, 2.0, 3.0)[k % 3] for k in range(len(sizes))]
+    low, high = 0.0, cap * max([*sizes, 1])
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(cap * s, mid * x) for s, x in zip(sizes, w, strict=True)) < sum(sizes) else (low, mid)
+    return [min(cap * s, low * x) for s, x in zip(sizes, w, strict=True)]
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_mix_of_the_test_tables(spark, sf):
+    d = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    got = mixing.mix(d).toPandas()
+    words = {r["doc_id"]: len(brute.WORD.findall(r["text"] or "")) for r in d.select("doc_id", "text").collect()}
+    assert dict(zip(got.doc_id.tolist(), got["size"].tolist(), strict=True)) == words and (got.copies <= 3).all()
+    per = got.groupby("source").agg(size=("size", "sum"), own=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"), second=("size", lambda x: x.nlargest(2).iloc[-1]))
+    assert (per["size"] == per.own).all() and np.allclose(per.target, filled(per["size"].tolist()))
+    assert (abs(per.taken - per.target) <= np.minimum(per.second, np.maximum(20, 0.01 * per.target))).all()
+
+
+def test_settled_documents_keep_words_and_expectation():
+    rng = random.Random(3)
+    size, total = [4000, 900, 300, 50], 10_000
+    for target in (2500.0, 6000.0, 9000.0, 10_000.0, 21_000.0):
+        sums = np.zeros(4)
+        for _ in range(3000):
+            copies, rate = mixing.settle(size, total, target, [rng.random() for _ in size], 3.0)
+            assert abs(sum(a * b for a, b in zip(size, copies, strict=True)) + rate * (total - sum(size)) - target) < 1e-6 and 0 <= rate <= 3
+            sums += copies
+        if 4000 < target < 20_000:  # a copy of the largest fits in, and none leaves the rest too much
+            assert np.allclose(sums / 3000, target / total, atol=0.05)
+    assert mixing.settle([10], 10, 25.0, [0.9], 3.0)[0] == [2]
+
+
+def test_mix_keeps_ids_and_spreads_equal_ids(spark):
+    big = 2**60
+    data = [(big + k, "a b c d " * (k % 5 + 1), None, "s", 0) for k in range(6)] + [(None, f"x y {k}", None, "s", 0) for k in range(50)] + [(7, "e f", None, "t", 0)] * 4
+    d = spark.createDataFrame(data, SCHEMA)
+    got = mixing.mix(d)
+    assert sorted(r[0] for r in got.where("doc_id is not null").select("doc_id").collect()) == sorted([big + k for k in range(6)] + [7] * 4)
+    rows = mixing.mixed_rows(clashing(d))
+    assert "copy_" in rows.columns and rows.drop("copy_").columns == clashing(d).columns
+    took = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    per = {r["source"]: r["target"] for r in got.select("source", "target").distinct().collect()}
+    assert all(abs(took.get(k, 0) - t) <= 20 for k, t in per.items())
+    assert rows.where("doc_id > 100").select("doc_id").distinct().join(d, "doc_id", "left_anti").count() == 0
+
+
 def test_targets_are_capped_and_reshared(spark):
     s = spark.createDataFrame([("a", 10), ("b", 10), ("c", 100), (None, 880)], "source string, source_size long")
     t = {r["source"]: r["target"] for r in mixing.targets(s).collect()}
@@ -110,12 +159,55 @@ def test_no_benchmark_no_leak(spark, docs):
 
 def test_blocks_find_every_item_in_the_radius():
     rng = np.random.default_rng(0)
-    edges = np.linspace(0, decontaminate.BITS, decontaminate.RADIUS + 2).round().astype(int)
-    for _ in range(200):
-        a = rng.integers(0, 2, decontaminate.BITS)
-        b = a.copy()
-        b[rng.choice(decontaminate.BITS, decontaminate.RADIUS, replace=False)] ^= 1
-        assert any((a[x:y] == b[x:y]).all() for x, y in zip(edges[:-1], edges[1:], strict=True))
+    prints = rng.integers(0, 2**16, (60, decontaminate.BLOCKS), np.uint16)
+    near = prints.copy()
+    for row in near:
+        for bit in rng.choice(decontaminate.BITS, decontaminate.RADIUS, replace=False).tolist():
+            row[bit // 16] ^= np.uint16(1 << bit % 16)
+    w, i, far = decontaminate.Blocks(prints).within(near)
+    assert {(k, k) for k in range(60)} <= set(zip(w.tolist(), i.tolist(), strict=True)) and far.max() <= decontaminate.RADIUS
+
+
+def test_blocks_prune_and_miss_little():
+    rng = np.random.default_rng(1)
+    items = rng.integers(0, 2**63, (200, 40)).astype(np.uint64)
+    other = rng.integers(0, 2**63, (200, 40)).astype(np.uint64)
+    near = items.copy()  # 35 of 40 shingles: a similarity of 35 / 45, close above the limit of 0.75
+    near[:, :5] = rng.integers(0, 2**63, (200, 5))
+    prints = lambda sets: decontaminate.simhash(np.stack([decontaminate.signs(x).sum(0, dtype=np.int32) for x in sets]))
+    blocks = decontaminate.Blocks(prints(items))
+    w, i = blocks.candidates(prints(other))
+    assert len(w) < 0.2 * 200 * 200  # of random pairs the blocks let a sixth through, the radius none
+    assert not len(blocks.within(prints(other))[0])
+    w, i, _ = blocks.within(prints(near))
+    assert (w == i).sum() >= 198
+
+
+@pytest.mark.parametrize("words", [40, 2_000_000])
+def test_blocks_of_the_benchmark(spark, rows, docs, monkeypatch, words):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+    items = [(k, rows[k][1]) for k in range(0, 30, 3)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, b).collect()}
+    assert got == set(brute.leaks(rows, items))
+    assert {r[0] for r in decontaminate.decontaminated(docs, b).select("doc_id").collect()} == {i for i, _ in rows} - {i for i, _ in got}
+
+
+def test_leaks_of_rows_without_id_go(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    big = 2**60 + 1
+    d = clashing(spark.createDataFrame([(None, f"before {item} after"), (None, "nothing of that"), (big, f"so {item}"), (big + 1, "clean text")], "doc_id long, text string"))
+    b = spark.createDataFrame([(0, item)], "item_id long, text string")
+    left = decontaminate.decontaminated(d, b)
+    assert left.columns == d.columns and {(r["doc_id"], r["text"]) for r in left.collect()} == {(None, "nothing of that"), (big + 1, "clean text")}
+    assert {r["doc_id"] for r in decontaminate.contaminated(d, b).collect()} == {None, big}
+
+
+def test_very_long_text_with_an_item(spark):
+    item = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([(1, " ".join(["w1 w2 w3 w4 w5"] * 20_000) + " " + item)], "doc_id long, text string")
+    got = decontaminate.contaminated(d, spark.createDataFrame([(0, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["start_word"], r["similarity"]) for r in got] == [(1, 100_000, 1.0)]
 
 
 # 3
@@ -175,6 +267,20 @@ def test_one_of_each_group(rows, docs):
     assert {r[0] for r in jaccard_join.one_of_each(docs).select("doc_id").collect()} == want
 
 
+def test_one_of_each_group_with_null_ids(spark):
+    t = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join([*t[:k], "changed", *t[k + 1 :]])
+    rows = [(None, near(0)), (2**60 + 1, near(59)), (2**60 + 2, " ".join(t)), (5, "quite another text, of more than five words"), (None, None), (None, None), (None, "a text without id, of its own, of more than five words"), (6, ""), (8, "same id, first text of two here"), (8, "same id, other text that stands alone here")]
+    d = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = jaccard_join.one_of_each(d)
+    want = [r for r in rows if r[0] not in (2**60 + 1, 2**60 + 2)]
+    assert left.columns == d.columns and sorted(map(repr, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(repr, want))
+    ids = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(d).where("doc_id is not null").collect()}
+    assert ids == {2**60 + 1: None, 2**60 + 2: None, 5: 5, 6: 6, 8: 8}
+    copies = spark.createDataFrame([(None, near(0))] * 4 + [(1, near(0)), (1, near(0))], "doc_id long, text string")
+    assert [(r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(copies).collect()] == [(None, near(0))]
+
+
 def test_trees_prune_but_lose_nothing():
     rng = np.random.default_rng(3)
     sets = []
@@ -220,6 +326,40 @@ def test_suffix_dedup_in_any_order(spark, descending):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out} == brute.suffixes(rows)
 
 
+def test_suffix_dedup_of_one_id_with_two_texts(spark):
+    rng = random.Random(9)
+    piece = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    a, b = piece(120), piece(90)
+    rows = [(1, piece(40) + a), (2, a + piece(30)), (2, piece(70) + b), (2, piece(10)), (3, b + a), (4, a + piece(30)), (None, b), (None, b + piece(20))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.dedup_suffixes(d).collect())
+    seen, want = {}, []
+    for i, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        for p in range(len(t) - 49):
+            seen.setdefault(t[p : p + 50], i)
+    for i, t in rows:
+        gone = set()
+        for p in range(len(t) - 49):
+            if seen[t[p : p + 50]] != i:
+                gone.update(range(p, p + 50))
+        want.append((-1 if i is None else i, len(t), len(gone)))
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_array(seed):
+    rng = random.Random(seed)
+    n = suffix_dedup.SIZE
+    data = np.array([rng.choice([0, 1, 2, 255]) if rng.random() < 0.7 else 7 for _ in range(600)] + [7] * 90 + [3] * 90 + [9, 9, 1], np.uint8)
+    data = np.concatenate([data, data[40:300]])
+    starts = np.array(sorted(rng.sample(range(len(data) - n + 1), 300)))
+    order = suffix_dedup.suffix_array(data, starts)
+    raw = data.tobytes() + bytes(3 * n)
+    assert set(starts.tolist()) <= set(order.tolist()) and len(set(order.tolist())) == len(order)
+    keys = [raw[i : i + n] for i in order.tolist()]
+    assert keys == sorted(keys)
+
+
 def test_suffix_classes():
     rng = random.Random(1)
     data = np.frombuffer(bytes(rng.choice(b"ab\x00\xffzyxwvutsrqponm") if rng.random() < 0.5 else 97 for _ in range(2000)), np.uint8)
@@ -278,6 +418,59 @@ def test_comments_and_cards_stay_cut():
         assert "First paragraph" in text and "comment" not in text and "Another" not in text
 
 
+PROSE = "which is long enough to be read, has commas, and words that go on for more than a line of text."
+
+
+@pytest.mark.parametrize(
+    "container",
+    [
+        '<div class="post hentry tag-politics">{}</div>',
+        '<div class="main-content no-sidebar">{}</div>',
+        '<div class="article-body with-header">{}</div>',
+        '<div class="content has-footer">{}</div>',
+        '<div class="review-body">{}</div>',
+        '<div class="legal-text">{}</div>',
+        '<div class="entry-content">{}</div>',
+        '<form action="/"><article>{}</article><input name="q"></form>',
+        '<form action="/"><div>{}</div><label>Search</label></form>',
+        "<article>{}</article>",
+        "<main>{}</main>",
+        '<div role="main">{}</div>',
+        '<div itemprop="articleBody">{}</div>',
+        "<section><div><div>{}</div></div></section>",
+        "<table><tr><td>{}</td></tr></table>",
+        '<div id="story">{}</div>',
+        "<div><center>{}</center></div>",
+        '<div class="share-wrapper"><article>{}</article></div>',
+        '<div class="blog-post related-links">{}</div>',
+        '<div class="comment-free"><main>{}</main></div>',
+        "<blockquote>{}</blockquote>",
+    ],
+)
+def test_containers_come_back_whole(container):
+    article = f"<h2>Title</h2><p>First paragraph, {PROSE}</p><p>Second &eacute;one,  also\nlong, {PROSE}</p>"
+    page = (
+        '<html><head><title>x</title></head><body><header><p>Site, with a header, quite long</p></header><nav><ul><li><a href="/">menu one</a></li></ul></nav><div class="sidebar"><p>A sidebar text, with commas, and more of it, '
+        + PROSE
+        + "</p></div>"
+        + container.format(article)
+        + '<div id="comments"><p>A comment, that somebody wrote, '
+        + PROSE
+        + '</p></div><div class="cookie-notice">cookies</div><footer>the foot</footer></body></html>'
+    )
+    assert html_extract.extract(page) == f"Title\nFirst paragraph, {PROSE}\nSecond éone, also long, {PROSE}"
+
+
+def test_deep_and_wide_pages():
+    deep = html_extract.extract("<body>" + "".join(f"<div>Some text, number {i}, here" for i in range(5000)))
+    assert deep.count("\n") > 4000 and "number 4999" in deep
+
+
+def test_pages_keep_large_ids(spark):
+    d = spark.createDataFrame([(2**60 + 1, "u", PAGE), (None, "v", PAGE)], "page_id long, url string, html string").coalesce(1)
+    assert {r["page_id"] for r in html_extract.extract_pages(d).collect()} == {2**60 + 1, None}
+
+
 def test_pages(spark):
     d = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (1, "u", PAGE)], "page_id long, url string, html string")
     got = html_extract.extract_pages(clashing(d)).collect()
@@ -306,6 +499,22 @@ def test_distance_of_junk(spark):
     assert all(got[i] for i in range(30)) and not any(got[100 + i] for i in range(3))
 
 
+def test_gibberish_in_ordinary_letters_goes_and_short_texts_stay(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8)))
+    usual = lambda n: "The " + " ".join(rng.choice([word(), word(), rng.choice(["the", "of", "and", "to"])]) for _ in range(n)) + "."
+    good = [(i, usual(150), "en", "s", 0) for i in range(60)] + [(200 + i, usual(12), "en", "s", 0) for i in range(20)]
+    odd = [(100 + i, " ".join(word() for _ in range(400)) + ".", "en", "s", 0) for i in range(3)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(good + odd, SCHEMA)).collect()}
+    assert not any(got[100 + i] for i in range(3)) and all(v for k, v in got.items() if not 100 <= k < 103)
+
+
+def test_quality_of_labelled_documents(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality_rules.quality_rules(d).where("not base_failed").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").toPandas()
+    assert got[got.quality == 1].kept.mean() > 0.99 and got[got.quality == 0].kept.mean() < 0.3
+
+
 def test_rejected_documents_go(rows, docs):
     kept = {r["doc_id"] for r in quality_rules.quality_rules(docs).where("kept").collect()}
     assert {r[0] for r in quality_rules.kept_documents(docs).select("doc_id").collect()} == kept
@@ -324,13 +533,24 @@ def test_repeated_lines(spark, seed):
 
 
 def test_lines_are_cut(rows, docs):
-    gone = brute.lines(rows, 10)
+    gone = brute.lines(rows, line_dedup.MIN_WORDS)
     for r in line_dedup.dedup_lines(clashing(docs)).collect():
         text = dict(rows)[r["doc_id"]]
         want = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if (r["doc_id"], k) not in gone)
         assert r["text"] == want and r["n_lines_removed"] == sum(i == r["doc_id"] for i, _ in gone)
 
 
+def test_hot_lines_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    data = [(i, f"a common line of words\nown {i} line here\nshort\nanother common line here") for i in range(40)] + [(None, "a common line of words\nshort"), (3, "a second text of three\nown 3 line here")]
+    d = clashing(spark.createDataFrame(data, "doc_id long, text string")).withColumn("__doc", F.lit(5)).withColumn("n_lines_removed", F.lit("x"))
+    out = line_dedup.dedup_lines(d)
+    assert out.columns == [*d.columns, "n_lines_removed_"]
+    got = {(r["doc_id"], r["text"]) for r in out.collect()}
+    assert (None, "a common line of words\nshort") in got and (0, "own 0 line here\nshort\nanother common line here") in got and (7, "own 7 line here") in got
+    assert {r["__doc"] for r in out.collect()} == {5}
+
+
 # 9
 
 
@@ -410,6 +630,17 @@ def test_null_ids_and_repeated_rows(spark, run):
     assert run(d).count() == 5
 
 
+@pytest.mark.parametrize("run", [lambda d, b: quality_rules.kept_documents(d), lambda d, b: line_dedup.dedup_lines(d), lambda d, b: jaccard_join.one_of_each(d), decontaminate.decontaminated, lambda d, b: mixing.mixed_rows(d)], ids=["rules", "lines", "near", "leaks", "mix"])
+def test_stage_forms_with_odd_rows(spark, empty, run):
+    text = "some words that stand here, quite a few of them, to be read more than once"
+    b = spark.createDataFrame([(0, "no such item stands in any text of these")], "item_id long, text string")
+    d = spark.createDataFrame([(None, text, None, None, None), (7, text, "en", "a", 1), (7, text, "en", "a", 1), (8, None, None, None, None), (9, "", "en", "b", 0)], SCHEMA)
+    out = run(clashing(d), b)
+    assert set(clashing(d).columns) <= set(out.columns)
+    assert {r["text"] for r in out.collect()} <= {text, None, ""}
+    assert run(clashing(empty), b).count() == 0
+
+
 def test_queries_have_their_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
 
