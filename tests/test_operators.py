@@ -5,7 +5,8 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
-from textmill.operators import annotate, lm, lookup, metrics, pairs, sampling, vectorize, verify
+from textmill.operators import annotate, lm, lookup, metrics, pairs, sampling, vectorize, verify, wordproblems
+from textmill.plans import cases
 
 
 def frame(spark, rows, schema):
@@ -156,24 +157,34 @@ def test_cascade_and_policy(spark):
     assert [r[0] for r in d.orderBy("id").select(label).collect()] == [0, 0, 0]
 
 
-@pytest.mark.parametrize(
-    ("prompt", "rule", "want"),
-    [
-        ("সরল সুদে ৫০০ টাকার ১০% হারে ৩ বছরের সুদ কত?", "simple_interest", Fraction(150)),
-        ("The simple interest on 200 at 5% for 2 years?", "simple_interest", Fraction(20)),
-        ("ক ও খ দুজনে একটি কাজ যথাক্রমে ৬ ও ৩ দিনে করে", "work_two", Fraction(2)),
-        ("দুই সংখ্যার অনুপাত 2:3, সমষ্টি 50", "ratio_two_part", Fraction(30)),
-        ("একটি প্যানেল 5 জনের মধ্য থেকে 2 জন", "combination", Fraction(10)),
-        ("square root of 144", "square_root", Fraction(12)),
-    ],
-)
-def test_word_problems(prompt, rule, want):
-    assert verify.solve(prompt) == (rule, want)
-
-
-def test_no_rule_abstains():
-    assert verify.solve("কে লিখেছেন?") is None
-    assert verify.agrees(Fraction(150), "১৫০ টাকা") and not verify.agrees(Fraction(150), "১৫১")
+@pytest.mark.parametrize(("question", "right", "wrong", "rule"), cases.PROBLEMS, ids=lambda x: None)
+def test_word_problems(question, right, wrong, rule):
+    assert (good := wordproblems.judged(question, right)) and (good[0], good[2]) == (rule, 1)
+    assert (bad := wordproblems.judged(question, wrong)) and (bad[0], bad[2]) == (rule, 0)
+
+
+@pytest.mark.parametrize("question", cases.OTHERS)
+def test_questions_near_a_rule_abstain(question):
+    assert wordproblems.judged(question, "3") is None
+
+
+def test_conflicting_rules_abstain():
+    both = "square root of 16; which of these is prime?"
+    assert {n for n, _ in wordproblems.solutions(both)} == {"square_root", "chosen_prime"}
+    assert wordproblems.judged(both, "3") is None
+
+
+def test_lost_digits_are_restored():
+    up = lambda x: x * Fraction(11, 10)
+    assert wordproblems.restored("12", "1320", up, "back") == 1200
+    assert wordproblems.restored("00", "150", lambda x: x * Fraction(3, 10), "front", 3) == 500
+    assert wordproblems.restored("12", "7", up, "back") is None
+    assert wordproblems.restored("1", "5", lambda x: Fraction(5), "back") is None  # several would do
+
+
+def test_quantities_have_units():
+    r = wordproblems.read("ক ও খ ৬ ও ৩ দিনে, 10% হারে 1,200 টাকা, 2:3")
+    assert [(q.value, q.unit) for q in r.quantities] == [(6, "day"), (3, "day"), (10, "percent"), (1200, "money")] and r.ratio == [2, 3]
 
 
 def test_word_numerals():

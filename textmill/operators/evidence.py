@@ -13,7 +13,7 @@ BIRTH = "জন্ম|born"
 FOUNDED = "প্রতিষ্ঠ|স্থাপিত|founded|established"
 NOT_BIRTH = "শতবর্ষ|জন্মবার্ষিক"
 HONORIFICS = ("শ্রী", "ড.", "ডঃ", "মৌলভী", "হযরত", "স্যার")
-DOMAINS = (("history", "ইতিহাস|যুদ্ধ|শতাব্দী|history|war"), ("geography", "নদী|জেলা|রাজধানী|river|capital"), ("science", "বিজ্ঞান|রাসায়নিক|গ্রহ|science"), ("literature", "কবি|উপন্যাস|রচনা|poem|novel"))
+DOMAINS = (("bangladesh_law", "আইন|ধারা|অধ্যাদেশ|বিধিমালা|সংবিধান"), ("bangladesh_gov", r"সিটিজেন|নাগরিক\s*সেবা|চার্টার|সরকারি\s*সেবা"), ("bengali_news_2021_2024", r"সাম্প্রতিক|সংবাদ|মন্ত্রী|নির্বাচন|গত\s+বছর"))
 
 
 def year_list(c: Column) -> Column:
@@ -45,7 +45,8 @@ def without_honorific(c: Column) -> Column:
 
 
 def domain_hint(c: Column) -> Column:
-    out = F.lit(None).cast("string")
+    """The corpus a question points to by its wording; '' without a cue."""
+    out = F.lit("")
     for name, pattern in reversed(DOMAINS):
         out = F.when(c.rlike(pattern), name).otherwise(out)
     return out
@@ -53,8 +54,9 @@ def domain_hint(c: Column) -> Column:
 
 def content_tokens(c: Column, stop: list[str] = ()) -> Column:
     """Distinct words of two characters or more of a lookup key, without stop words."""
-    words = F.array_distinct(X.whitespace_tokens(X.lookup_key(c)))
-    return F.filter(words, lambda w: (F.length(w) >= 2) & (~w.isin(list(stop)) if stop else F.lit(True)))
+    # the key comes from an Arrow function, which can't stand in a lambda: words are taken from it by patterns
+    words = F.array_distinct(F.regexp_extract_all(X.lookup_key(c), F.lit(r"[^ ]{2,}"), F.lit(0)))
+    return F.array_except(words, F.array(*map(F.lit, stop))) if stop else words
 
 
 def retrieval_terms(c: Column, stop: list[str] = ()) -> Column:
@@ -73,7 +75,7 @@ def references(df: DataFrame, banks: list[DataFrame], key: str, answers: str, li
 
 
 def domain_filtered(candidates: DataFrame, row: str, domain: str, hint: str) -> DataFrame:
-    """Candidates of a row's hinted domain, or all of them if none has it."""
+    """Candidates of a row's hinted domain, or all of them if none has it or there is no hint."""
     from pyspark.sql import Window
 
     same = (F.col(domain) == F.col(hint)).cast("int")

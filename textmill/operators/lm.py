@@ -14,9 +14,14 @@ PAD = "\u0002"
 
 
 def windows(c: Column, order: int) -> Column:
-    """(history, char) of every character, the text padded on the left."""
-    padded = F.concat(F.lit(PAD * (order - 1)), c)
-    return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.struct(F.substring(padded, i, F.lit(order - 1)).alias("history"), F.substring(padded, i + (order - 1), F.lit(1)).alias("char")))).otherwise(F.array().cast("array<struct<history:string,char:string>>"))
+    """(history, char) of every character, the text padded on the left: from shifted copies of its characters, linear in its length."""
+    chars = F.when(F.length(c) > 0, F.split(c, "")).otherwise(F.array().cast("array<string>"))
+    n = F.size(chars)
+    padded = F.concat(F.array_repeat(F.lit(PAD), order - 1), chars)
+    history = F.slice(padded, F.lit(1), n) if order > 1 else F.transform(chars, lambda x: F.lit(""))
+    for k in range(1, order - 1):
+        history = F.zip_with(history, F.slice(padded, F.lit(k + 1), n), lambda a, b: F.concat(a, b))
+    return F.zip_with(history, chars, lambda h, x: F.struct(h.alias("history"), x.alias("char")))
 
 
 def char_counts(df: DataFrame, text: str, order: int, keys: list[str] = ()) -> DataFrame:
@@ -40,8 +45,9 @@ def char_lm_score(model: tuple[DataFrame, DataFrame], df: DataFrame, row: str, t
     own = df.select(row, F.explode(windows(F.coalesce(F.col(text), F.lit("")), order)).alias("w")).groupBy(row, "w.history", "w.char").agg(F.count(F.lit(1)).alias("times"))
     if keys:
         own = own.crossJoin(F.broadcast(counts.select(*keys).distinct()))  # one row per class
-    totals = counts.select(*keys, "history", "total").distinct()
-    scored = own.join(counts.select(*keys, "history", "char", "n"), [*keys, "history", "char"], "left").join(totals, [*keys, "history"], "left").crossJoin(alphabet)  # one row
+    # one row per history, its characters' counts as a map no larger than the alphabet: a single join
+    per = counts.groupBy(*keys, "history").agg(F.first("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("char", "n"))).alias("known"))
+    scored = own.join(per, [*keys, "history"], "left").crossJoin(alphabet).withColumn("n", F.col("known")[F.col("char")])  # one row
     p = (F.coalesce("n", F.lit(0)) + k) / (F.coalesce("total", F.lit(0)) + k * F.col("alphabet"))
     g = scored.groupBy(row, *keys).agg((F.sum(F.log(p) * F.col("times")) / F.sum("times")).alias("log_prob"))
     rows = df.select(row).distinct()

@@ -62,9 +62,14 @@ def blocked_match(df: DataFrame, bank: DataFrame, row: str, question: str, optio
     An inverted index on options yields the candidates, so only rows that share one are compared. Kept are best candidates with
     score `least` and a lead over those with another verdict; `unanimous`: all within `near` of the best agree.
     """
-    index = bank.select(F.col(bank_question).alias("__q"), F.explode(options).alias(option), *[c for c in bank.columns if c not in (bank_question, options, option)])
-    pairs = df.select(row, F.col(question).alias("__own"), option).join(index, option)
-    scored = pairs.withColumn("score", S.jaccard(X.word_set(F.col("__own"), True), X.word_set(F.col("__q"), True))).where(F.col("score") >= least)
+    rest = [c for c in bank.columns if c not in (bank_question, options, option)]
+    words = lambda c: X.word_set(F.col(c), True)
+    # words are cut once a row, before the join; sets of too unlike sizes are out before they are compared
+    index = bank.select(F.col(bank_question).alias("__q"), words(bank_question).alias("__theirs"), F.explode(options).alias(option), *rest)
+    pairs = df.select(row, words(question).alias("__own"), option).join(index, option)
+    sizes = F.size("__own"), F.size("__theirs")
+    pairs = pairs.where(F.least(*sizes) >= F.lit(least) * F.greatest(*sizes))
+    scored = pairs.withColumn("score", S.jaccard(F.col("__own"), F.col("__theirs"))).where(F.col("score") >= least)
     w = Window.partitionBy(row)
     order = w.orderBy(F.desc("score"), "__q")
     labelled = scored.withColumn("rank", F.row_number().over(order)).withColumn("best", F.max("score").over(w)).withColumn("next", F.lead("score").over(order))
@@ -103,6 +108,36 @@ def one_edit_neighbours(words: DataFrame, lexicon: DataFrame, word: str, entry:
     return pairs.withColumn("distance", F.levenshtein(word, entry)).where("distance <= 1")
 
 
+#: Characters of items that may be broadcast.
+SMALL = 64 << 20
+
+
+def containing(df: DataFrame, items: DataFrame, key: str, text: str, item: str, words: int = 3) -> DataFrame:
+    """(key) of rows whose text holds an item, verbatim.
+
+    An item's second to (words + 1)th words are whole words wherever it stands, so rows and items first meet on that run of words, and
+    only those pairs are compared as strings. The items are broadcast if they are known to be small, else joined by the run. Items of fewer
+    than words + 2 words have no such run; each is looked for in every text.
+    """
+    items = items.select(F.col(item).alias("__item")).where("__item <> ''").distinct()
+    at = F.split(F.trim("__item"), r"(?U)\s+")
+    probes = items.where(F.size(at) >= words + 2).select("__item", F.array_join(F.slice(at, 2, words), " ").alias("__run"))
+    size = items.agg(F.sum(F.length("__item"))).first()[0] or 0
+    own = df.select(key, X.whitespace_tokens(F.col(text)).alias("__w"))
+    runs = own.select(key, F.explode(F.array_distinct(X.word_ngrams(F.col("__w"), words))).alias("__run"))
+    pairs = runs.join(F.broadcast(probes) if size <= SMALL else probes, "__run").select(key, "__item").distinct()
+    found = df.select(key, text).join(pairs, key).where(F.contains(text, "__item")).select(key)
+    short = [r[0] for r in items.where(F.size(at) < words + 2).limit(1001).collect()]
+    if len(short) > 1000:
+        raise ValueError("over 1000 items of a few words: look for them by their words")
+    if short:
+        any_ = F.lit(False)
+        for x in short:
+            any_ = any_ | F.contains(F.col(text), F.lit(x))
+        found = found.unionByName(df.where(any_).select(key))
+    return found.distinct()
+
+
 def relation_year(df: DataFrame, relations: DataFrame, subject: str, title: str, year: str, claimed: str) -> DataFrame:
     """df with the year of its subject's title and whether the claimed one agrees."""
     out = df.join(relations.select(F.col(title).alias(subject), F.col(year).alias("__year")), subject, "left")

@@ -45,20 +45,62 @@ def tfidf(df: DataFrame, row: str, tokens: str, weights: DataFrame) -> DataFrame
     return raw.join(norm, row).select(row, "word", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def sparse_top_k(queries: DataFrame, docs: DataFrame, q: str, d: str, k: int, most_df: int | None = None) -> DataFrame:
+def sparse_top_k(queries: DataFrame, docs: DataFrame, q: str, d: str, k: int, block: int = 2_000, decimals: int = 6) -> DataFrame:
     """(q, d, score, rank): the k best documents of each query by dot product of (id, word, w) postings, ties by id.
 
-    An equi-join on words; candidates are summed before ranking. Words of more than most_df documents can be
-    left out of the postings, which lowers scores but not the plan's bound; by default none is.
+    The queries go out in blocks of about `block`, which bounds what is broadcast; a task sums each of its documents against a block's
+    postings and keeps the k best of every query. So common words cost arithmetic only: pairs are never rows, and no word is a
+    shuffle's key. Only pairs that share a word are candidates.
     """
-    docs = docs.select(F.col(docs.columns[0]).alias(d), "word", F.col("w").alias("__dw"))
-    if most_df:
-        common = docs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_df).select("word")
-        docs = docs.join(common, "word", "left_anti")
-    own = queries.select(F.col(queries.columns[0]).alias(q), "word", F.col("w").alias("__qw"))
-    scores = own.join(docs, "word").groupBy(q, d).agg(F.sum(F.col("__qw") * F.col("__dw")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy(q).orderBy(F.desc("score"), d))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k)
+    from textmill.session import ship
+
+    spark = docs.sparkSession
+    ship(spark)
+    first, key = queries.columns[0], docs.columns[0]
+    blocks = max(1, -(-queries.select(first).distinct().count() // block))
+    rows = docs.groupBy(F.col(key).cast("long").alias("d")).agg(F.collect_list("word").alias("words"), F.collect_list("w").alias("ws"))
+    parts = []
+    for i in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64(first), F.lit(blocks)) == i).select(F.col(first).cast("long"), "word", "w").orderBy(first, "word").collect()
+        if own:
+            parts.append(rows.mapInPandas(_best_sparse(spark.sparkContext.broadcast(own), k, decimals), "q long, d long, score double"))
+    if not parts:
+        return spark.createDataFrame([], f"{q} long, {d} long, score double, rank int")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(q), F.col("d").alias(d), "score", "rank")
+
+
+def _best_sparse(sent, k: int, decimals: int):
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sent.value
+        ids, of = np.unique(np.array([r[0] for r in own], np.int64), return_inverse=True)
+        lexicon = pd.Index(sorted({r[1] for r in own}))
+        word = lexicon.get_indexer([r[1] for r in own])
+        order = np.argsort(word, kind="stable")
+        of, weight = of[order], np.array([r[2] for r in own])[order]
+        at = np.searchsorted(word[order], np.arange(len(lexicon) + 1))  # the postings of each word
+        score, found = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                some = batch.iloc[lo : lo + 512]
+                rows = some["d"].to_numpy(np.int64)
+                sizes = some["words"].map(len).to_numpy()
+                w = lexicon.get_indexer(np.concatenate(some["words"].to_numpy()))
+                x, row = np.concatenate(some["ws"].to_numpy()), np.repeat(np.arange(len(rows)), sizes)
+                w, x, row = w[w >= 0], x[w >= 0], row[w >= 0]
+                n = at[w + 1] - at[w]
+                each = np.repeat(np.arange(len(w)), n)
+                hit = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n) + at[w][each]
+                cell = of[hit] * len(rows) + row[each]
+                new = np.bincount(cell, weight[hit] * x[each], minlength=len(ids) * len(rows)).reshape(len(ids), -1)
+                new = np.where(np.bincount(cell, minlength=new.size).reshape(new.shape) > 0, np.round(new, decimals), -np.inf)
+                score, found = np.hstack([score, new]), np.hstack([found, np.broadcast_to(rows, new.shape)])
+                top = np.lexsort((found, -score), axis=1)[:, :k]
+                score, found = np.take_along_axis(score, top, 1), np.take_along_axis(found, top, 1)
+        ok = np.isfinite(score)
+        yield pd.DataFrame({"q": np.broadcast_to(ids[:, None], score.shape)[ok], "d": found[ok], "score": score[ok]})
+
+    return best
 
 
 def dense_top_k(queries: DataFrame, docs: DataFrame, vector: str, q: str, d: str, k: int, block: int = 10_000, decimals: int = 6) -> DataFrame:

@@ -1,13 +1,9 @@
-"""Deterministic verifiers of answers: arithmetic templates, word numerals, word formation. A verdict is 1, 0 or null (no rule fits)."""
+"""Deterministic verifiers of answers: word numerals, word formation, kinds of questions. A verdict is 1, 0 or null (no rule fits)."""
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections.abc import Callable
-from dataclasses import dataclass
-from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,11 +12,9 @@ from pyspark.sql import types as T
 
 from textmill.functions.text import ASCII_DIGITS, BENGALI_DIGITS, lookup_key
 
-NUMBER = re.compile(r"[-+]?(?:\d{1,3}(?:,\d{2,3})+|\d+)(?:\.\d+)?(?:/\d+)?")
-RATIO = re.compile(r"(\d+)\s*:\s*(\d+)(?:\s*:\s*(\d+))?")
 _DIGITS = str.maketrans(BENGALI_DIGITS, ASCII_DIGITS)
 
-# Numerals 0 to 99 in order, scales, weekdays, and the cues of the grammar's and the problems' wording.
+# Numerals 0 to 99 in order, scales, and the cues of the grammar's wording.
 CARDINALS = (
     "শূন্য এক দুই তিন চার পাঁচ ছয় সাত আট নয় দশ এগারো বারো তেরো চৌদ্দ পনেরো ষোল সতেরো আঠারো উনিশ বিশ একুশ বাইশ তেইশ চব্বিশ পঁচিশ ছাব্বিশ সাতাশ আটাশ ঊনত্রিশ ত্রিশ একত্রিশ বত্রিশ তেত্রিশ চৌত্রিশ পঁয়ত্রিশ ছত্রিশ সাঁইত্রিশ আটত্রিশ "
     "ঊনচল্লিশ চল্লিশ একচল্লিশ বিয়াল্লিশ তেতাল্লিশ চুয়াল্লিশ পঁয়তাল্লিশ ছেচল্লিশ সাতচল্লিশ আটচল্লিশ ঊনপঞ্চাশ পঞ্চাশ একান্ন বাহান্ন তিপ্পান্ন চুয়ান্ন পঞ্চান্ন ছাপ্পান্ন সাতান্ন আটান্ন ঊনষাট ষাট একষট্টি বাষট্টি তেষট্টি চৌষট্টি পঁয়ষট্টি ছেষট্টি "
@@ -28,7 +22,6 @@ CARDINALS = (
     "সাতানব্বই আটানব্বই নিরানব্বই"
 ).split()
 SCALES = {"শত": 100, "শ": 100, "হাজার": 1000, "লক্ষ": 100_000, "লাখ": 100_000, "মিলিয়ন": 1_000_000, "কোটি": 10_000_000}
-WEEKDAYS = ["রবিবার", "সোমবার", "মঙ্গলবার", "বুধবার", "বৃহস্পতিবার", "শুক্রবার", "শনিবার"]
 SAMAS = (
     ("পরস্পর", "ব্যতিহার বহুব্রীহি"),
     ("(নাই|নেই).*(যার|যাহার)|(যার|যাহার).*(নাই|নেই)", "নঞ বহুব্রীহি"),
@@ -64,147 +57,6 @@ def plain(text: str | None) -> str:
     return unicodedata.normalize("NFKC", text or "").translate(_DIGITS)
 
 
-def numbers(text: str) -> list[Fraction]:
-    out = []
-    for m in NUMBER.findall(text):
-        top, _, bottom = m.replace(",", "").partition("/")
-        if not bottom or int(bottom):
-            out.append(Fraction(top) / (int(bottom) if bottom else 1))
-    return out
-
-
-@dataclass(frozen=True)
-class Problem:
-    """What a template's formula may use."""
-
-    text: str
-
-    @property
-    def n(self) -> list[Fraction]:
-        return numbers(self.text)
-
-    @property
-    def percents(self) -> list[Fraction]:
-        return [Fraction(x) for x in re.findall(r"(\d+(?:\.\d+)?)\s*%", self.text)]
-
-    @property
-    def ratio(self) -> list[int]:
-        m = RATIO.search(self.text)
-        return [int(x) for x in m.groups() if x] if m else []
-
-    def after(self, cue: str) -> Fraction:
-        return numbers(self.text[re.search(cue, self.text).end() :])[0]
-
-
-@dataclass(frozen=True)
-class Template:
-    """A kind of word problem: all cues must be found; the formula may fail on missing numbers, then the template doesn't fit."""
-
-    name: str
-    cues: tuple[str, ...]
-    formula: Callable[[Problem], Fraction | str]
-
-
-def _rate(*days: Fraction) -> Fraction:
-    return 1 / sum(1 / d for d in days)
-
-
-def _share(p: Problem, total: Fraction, parts: int) -> Fraction:
-    r = p.ratio
-    if len(r) != parts:
-        raise ValueError
-    return total * r[1] / sum(r)
-
-
-def _weekday(p: Problem) -> str:
-    start = next(i for i, d in enumerate(WEEKDAYS) if d in p.text)
-    return WEEKDAYS[(start + int(p.n[-1])) % 7]
-
-
-def _whole(*x: Fraction) -> list[int]:
-    if any(v.denominator != 1 or v < 0 for v in x):
-        raise ValueError
-    return [int(v) for v in x]
-
-
-#: The first that fits decides, so narrower ones stand before wider ones.
-TEMPLATES = (
-    Template("work_two", ("দুজনে|উভয়ে|two together", "কাজ|প্রকল্প|work"), lambda p: _rate(*p.n[:2])),
-    Template("work_three", ("তিনজনে|three together", "যথাক্রমে|respectively"), lambda p: _rate(p.n[0], p.n[1], p.n[2])),
-    Template("ratio_three_share", ("ব্যবসায়িক অংশীদারের|business partners",), lambda p: _share(p, p.n[0], 3)),
-    Template("ratio_mixture", ("মিশ্রণে|mixture",), lambda p: _share(p, p.n[-1], 2)),
-    Template("ratio_two_part", ("অনুপাত|ratio", "সমষ্টি|মোট|total"), lambda p: _share(p, p.n[-1], 2)),
-    Template("successive_percent", ("শুরুর দাম|প্রাথমিক মূল্য|initial price", "%.*%"), lambda p: p.after("শুরুর দাম|প্রাথমিক মূল্য|initial price") * (100 + p.percents[0]) * (100 - p.percents[1]) / 10_000),
-    Template("profit_loss_sale", ("ক্রয়মূল্য|কেনা|cost price", "%", "বিক্র|sold|sale"), lambda p: p.n[0] * (100 + (-1 if re.search("ক্ষতি|loss", p.text) else 1) * p.n[1]) / 100),
-    Template("simple_interest", ("সরল সুদ|simple interest", "%", "বছ|year"), lambda p: p.n[0] * p.percents[0] * Fraction(re.search(r"(\d+(?:\.\d+)?)\s*(?:বছ|year)", p.text)[1]) / 100),
-    Template("same_direction", ("একই দিকে|same direction", "দূরত্ব|distance"), lambda p: abs(p.n[0] - p.n[1]) * p.n[2]),
-    Template("opposite_meeting", ("একে অপরের দিকে|towards each other", "মিলিত|meet"), lambda p: p.n[0] / (p.n[1] + p.n[2])),
-    Template("lcm_cycles", ("সংকেত বাতি|বাস স্টপেজ|signal lights",), lambda p: Fraction(math.lcm(*_whole(p.n[0], p.n[1], p.n[2])))),
-    Template("combination", ("প্যানেল|উপকমিটি|panel|subcommittee", "মধ্য থেকে|from among"), lambda p: Fraction(math.comb(*_whole(*p.n[:2])))),
-    Template("weekday_offset", ("সপ্তাহের কোন|which weekday", "দিন পরে|দিন পরবর্তী|days later"), _weekday),
-    Template("new_average_member", ("গড়মান|গড় নম্বর|average", ""), lambda p: (p.n[0] + 1) * p.n[2] - p.n[0] * p.n[1]),
-    Template("square_root", ("বর্গমূল|square root",), lambda p: Fraction(math.isqrt(_whole(p.n[0])[0])) if math.isqrt(_whole(p.n[0])[0]) ** 2 == p.n[0] else _none()),
-    Template("percent_of", ("%", "শতকরা কত|এর .*%|% of"), lambda p: p.percents[0] * [x for x in p.n if x != p.percents[0]][0] / 100),
-    Template("hex_to_binary", ("হেক্সাডেসিম্যাল|hexadecimal", "বাইনারি|binary"), lambda p: f"{int(re.search(r'[(]?([0-9A-Fa-f]+)[)]?(?:_?16|₁₆)', p.text)[1], 16):b}"),
-    Template("binary_sum", ("বাইনারি|binary", "যোগ|sum"), lambda p: f"{sum(int(x, 2) for x in re.findall(r'\b[01]+\b', p.text)[:2]):b}"),
-    Template("logarithm", (r"log",), lambda p: _log(p)),
-)
-TEMPLATES = tuple(Template(t.name, tuple(unicodedata.normalize("NFKC", c) for c in t.cues), t.formula) for t in TEMPLATES)
-
-
-def _none() -> Fraction:
-    raise ValueError
-
-
-def _log(p: Problem) -> Fraction:
-    base, x = _whole(*p.n[:2])
-    k = round(math.log(x, base))
-    if base**k != x:
-        raise ValueError
-    return Fraction(k)
-
-
-def solve(prompt: str | None) -> tuple[str, Fraction | str] | None:
-    """(template, expected) of the first template that fits."""
-    p = Problem(plain(prompt))
-    for t in TEMPLATES:
-        if all(re.search(c, p.text, re.I | re.S) for c in t.cues):
-            try:
-                return t.name, t.formula(p)
-            except (ValueError, IndexError, ZeroDivisionError, TypeError, StopIteration, AttributeError):
-                continue
-    return None
-
-
-def agrees(expected: Fraction | str, response: str | None) -> bool:
-    text = plain(response)
-    if isinstance(expected, str):
-        return bool(re.search(rf"(?<![0-9]){re.escape(expected)}(?![0-9])", text))
-    found = numbers(text)
-    return bool(found) and found[0] == expected
-
-
-@F.pandas_udf(T.StructType([T.StructField("rule", T.StringType()), T.StructField("expected", T.StringType()), T.StructField("verdict", T.IntegerType())]))
-def arithmetic(prompt: pd.Series, response: pd.Series) -> pd.DataFrame:
-    """struct(rule, expected, verdict) of a word problem and an answer; nulls if no template fits."""
-    rows = []
-    for q, a in zip(prompt, response, strict=True):
-        got = solve(q)
-        rows.append((None, None, None) if got is None else (got[0], str(got[1]), int(agrees(got[1], a))))
-    out = pd.DataFrame(rows, columns=["rule", "expected", "verdict"], dtype=object)
-    return out.astype({"verdict": "Int32"})
-
-
-def truncated(expected: Fraction, visible: Fraction, response: str | None, formula: Callable[[Fraction], Fraction], limit: int = 10_000) -> bool:
-    """Whether one operand that lost leading digits can be restored, in one way only, so that the answer is right."""
-    found = numbers(plain(response))
-    if not found or visible.denominator != 1:
-        return False
-    step = 10 ** len(str(int(visible)))
-    fits = [v for v in range(int(visible), limit, step) if formula(Fraction(v)) == found[0]]
-    return len(fits) == 1
-
-
 _NUMERALS = {unicodedata.normalize("NFKC", w): i for i, w in enumerate(CARDINALS)}
 _SCALES = {unicodedata.normalize("NFKC", w): v for w, v in SCALES.items()}
 

@@ -2,56 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions import similarity as S
 from textmill.functions import text as X
-from textmill.operators import annotate, lm, lookup, metrics, models, pairs, sampling, vectorize, verify
+from textmill.operators import annotate, lm, lookup, metrics, models, pairs, sampling, vectorize, wordproblems
+from textmill.plans.base import GRADED, MD5, ORACLE_SQL, PAIRS, PROTECTED, QUERIES, STOP, TOKENS, WORDS, docs, graded, lower_words, pair_texts, query, r6
 from textmill.session import table
 
 FLAGSHIP = "containment_slice_metrics"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-STOP = ["the", "of", "and", "to", "in", "is", "that", "for", "it", "was", "with", "not", "no"]
-PROTECTED = ["not", "no"]
-#: One md5 order in both engines.
-MD5 = "md5(concat_ws('|', CAST({0} AS VARCHAR), '42'))"
-TOKENS = r"regexp_extract_all({0}, '[0-9]+(?:[.,][0-9]+)*|[A-Za-zÀ-ɏ]+|[^\s]')"
-WORDS = r"list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda x: x <> '')"
-GRADED = "SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)"
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
-
-
-def graded(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", "lang", "source", "n_chars").join(table(spark, d, "labels"), "doc_id")
-
-
-def lower_words(c: str = "text"):
-    """White-space words, lowered; the split SQL can follow."""
-    return F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != "")
-
-
-def r6(c, name: str):
-    return F.round(c.cast("double") if not isinstance(c, str) else F.col(c).cast("double"), 6).alias(name)
 
 
 # --- text -------------------------------------------------------------------------------------------------------------------
@@ -125,14 +85,13 @@ def cells_and_hashes(spark, d):
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def exact_dedup_keep_first(spark, d):
-    t = docs(spark, d).select("doc_id", "text")
-    return t.groupBy(F.sha2("text", 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("k")
+    t = docs(spark, d).select("doc_id", F.sha2("text", 256).alias("k"))
+    return pairs.keep_first(t, ["k"], ["doc_id"]).join(t.groupBy("k").agg(F.count(F.lit(1)).alias("copies")), "k").drop("k")
 
 
-@query("SELECT min(d.doc_id) AS doc_id, count(DISTINCT quality) AS labels, count(*) AS n FROM documents d JOIN labels USING (doc_id) GROUP BY text HAVING count(DISTINCT quality) > 1")
-def contradictory_texts(spark, d):
-    t = docs(spark, d).select("doc_id", F.sha2("text", 256).alias("k")).join(table(spark, d, "labels"), "doc_id")
-    return t.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count_distinct("quality").alias("labels"), F.count(F.lit(1)).alias("n")).where("labels > 1").drop("k")
+@query(f"SELECT lang, source, count(DISTINCT quality) AS labels, count(*) AS n FROM ({GRADED}) GROUP BY ALL HAVING count(DISTINCT quality) > 1")
+def contradictory_keys(spark, d):
+    return pairs.contradictions(graded(spark, d), ["lang", "source"], "quality")
 
 
 @query(r"""SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(text), '\s+', ' ', 'g')) ORDER BY conv_id, turn) AS r FROM conversations) WHERE r = 1""")
@@ -216,10 +175,9 @@ _CONTAIN = "EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, rtrim(trim(
 
 
 def _contained(spark, d) -> DataFrame:
-    """(doc_id, contained): documents that hold a benchmark item. The items are a stated query set: broadcast, against all rows."""
-    items = table(spark, d, "benchmark").select(X.trim_answer(F.col("text")).alias("item")).distinct()
-    t = docs(spark, d)
-    return t.join(F.broadcast(items), F.contains(t["text"], items["item"]), "left_semi").select("doc_id", F.lit(1).alias("contained"))
+    """(doc_id, contained): documents that hold a benchmark item."""
+    items = table(spark, d, "benchmark").select(X.trim_answer(F.col("text")).alias("item"))
+    return lookup.containing(docs(spark, d), items, "doc_id", "text", "item").select("doc_id", F.lit(1).alias("contained"))
 
 
 @query(f"SELECT d.doc_id FROM documents d WHERE {_CONTAIN}")
@@ -287,10 +245,11 @@ def mcnemar_counts(spark, d):
     return metrics.mcnemar(g, "quality", "a", "b").drop("p")
 
 
-@query()
+@query(f"""WITH r AS (SELECT quality AS t, (n_chars > 1000)::INT AS a, (n_chars > 300)::INT AS b FROM ({GRADED})), c AS (SELECT count(*) FILTER (a = t AND b <> t) AS only_a, count(*) FILTER (b = t AND a <> t) AS only_b FROM r), i AS (SELECT only_a, only_b, only_a + only_b AS n, unnest(range(least(only_a, only_b) + 1)) AS i FROM c)
+SELECT only_a, only_b, round(CASE WHEN n = 0 THEN 1 ELSE least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) END, 6) AS p FROM i GROUP BY only_a, only_b, n""")
 def mcnemar_p(spark, d):
     g = graded(spark, d).withColumn("a", (F.col("n_chars") > 1000).cast("int")).withColumn("b", (F.col("n_chars") > 300).cast("int"))
-    return metrics.mcnemar(g, "quality", "a", "b")
+    return metrics.mcnemar(g, "quality", "a", "b").withColumn("p", F.round("p", 6))
 
 
 @query(f"""WITH r AS ({GRADED}), v AS (SELECT doc_id, unnest([{{'j': 1, 'v': CASE WHEN n_chars > 1000 THEN 'good' ELSE 'bad' END}}, {{'j': 2, 'v': CASE WHEN toxic = 0 THEN 'good' ELSE 'bad' END}}, {{'j': 3, 'v': CASE WHEN n_chars < 300 THEN NULL WHEN quality = 1 THEN 'good' ELSE 'bad' END}}]) AS x FROM r),
@@ -370,14 +329,11 @@ _TFIDF = f"""w AS (SELECT word, ln((1 + (SELECT count(*) FROM documents))::DOUBL
 qt AS (SELECT item_id, word, count(*) * any_value(idf) AS x FROM (SELECT item_id, unnest({WORDS.format('text')}) AS word FROM benchmark) JOIN w USING (word) GROUP BY ALL), qn AS (SELECT item_id, sqrt(sum(x * x)) AS n FROM qt GROUP BY item_id),
 s AS (SELECT item_id, doc_id, round(sum(qt.x / qn.n * dt.x / dn.n), 6) AS score FROM qt JOIN qn USING (item_id) JOIN dt USING (word) JOIN dn USING (doc_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id, score, rank::INT AS rank FROM r WHERE rank <= 3""")
 def sparse_retrieval_topk(spark, d):
-    from pyspark.sql import Window
-
     t = docs(spark, d).select("doc_id", lower_words().alias("tokens"))
     w = vectorize.idf(t, "tokens", 2)
     dt = vectorize.tfidf(t, "doc_id", "tokens", w)
     qt = vectorize.tfidf(table(spark, d, "benchmark").select("item_id", lower_words().alias("tokens")), "item_id", "tokens", w)
-    s = qt.select("item_id", "word", F.col("w").alias("a")).join(dt, "word").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("a") * F.col("w")), 6).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("rank <= 3")
+    return vectorize.sparse_top_k(qt, dt, "item_id", "doc_id", 3)
 
 
 # --- lookups, cascades ------------------------------------------------------------------------------------------------------
@@ -454,12 +410,12 @@ def parse_replies(spark, d):
     return e.select("event_id", r["value"].alias("value"), r["confidence"].alias("confidence"))
 
 
-@query("SELECT p_partkey, 'simple_interest' AS rule, (p_partkey % 2)::INT AS verdict FROM part")
+@query("SELECT p_partkey, 'interest_earned' AS rule, (p_partkey % 2)::INT AS verdict FROM part")
 def arith_verify(spark, d):
     p = table(spark, d, "part")
     q = F.format_string("The simple interest on %d at %d%% for 4 years is what?", F.col("p_size") * 100, F.col("p_partkey") % 9 + 1)
     a = (F.col("p_size") * (F.col("p_partkey") % 9 + 1) * 4 + F.when(F.col("p_partkey") % 2 == 1, 0).otherwise(1)).cast("string")
-    v = verify.arithmetic(q, a)
+    v = wordproblems.arithmetic(q, a)
     return p.select("p_partkey", v["rule"].alias("rule"), v["verdict"].alias("verdict"))
 
 
@@ -477,15 +433,6 @@ def sequence_ratios(spark, d):
     return c.select("conv_id", "turn", r6(S.sequence_ratio(F.col("question"), F.col("answer")), "ratio"), r6(S.token_set_ratio(F.col("question"), F.col("answer")), "token_set"))
 
 
-def pair_texts(spark, d) -> DataFrame:
-    """User turns with the assistant's reply."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    n = table(spark, d, "conversations").withColumn("answer", F.lead("text").over(w)).withColumn("next", F.lead("role").over(w))
-    return n.where("role = 'user' and next = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
-
-
 @query()
 def difficulty_flag(spark, d):
     c = pair_texts(spark, d)
@@ -493,7 +440,7 @@ def difficulty_flag(spark, d):
     return pairs.difficulty(p).select("conv_id", "turn", "difficulty")
 
 
-@query()
+@query(r"""SELECT conv_id, turn, trim(regexp_extract(text, '^\s*(?:(?:[0-9]+(?:[.,][0-9]+)*|[A-Za-zÀ-ɏ]+|[^\s])\s*){0,20}')) AS head FROM conversations""")
 def cut_to_tokens(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.cut_to_tokens(F.col("text"), 20).alias("head"))
 
@@ -504,9 +451,14 @@ def passage_lm(spark, d):
     return c.select("conv_id", "turn", r6(lm.passage_lm_score()(F.col("question"), F.col("answer")), "score"))
 
 
-@query()
+_LIST = r"list_filter(regexp_split_to_array(trim(regexp_replace({0}, '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+@query(f"""WITH t AS {PAIRS}, s AS (SELECT conv_id || '/' || turn AS id, list_distinct({_LIST.format("lower(question)")}) AS own, list_filter(regexp_split_to_array(answer, '[।.!?\\n]+'), lambda x: trim(x) <> '') AS pieces FROM t),
+p AS (SELECT id, own, unnest(range(1, len(pieces) + 1)) AS pos, unnest(pieces) AS x FROM s), r AS (SELECT id, trim(x) AS x, row_number() OVER (PARTITION BY id ORDER BY len(list_intersect(own, {_LIST.format("lower(x)")}))::DOUBLE / greatest(len(own), 1) DESC, pos) AS rank FROM p)
+SELECT s.id, array_to_string(coalesce(list(r.x ORDER BY rank) FILTER (rank <= 3), []), '|') AS sentences FROM s LEFT JOIN r USING (id) GROUP BY s.id""")
 def evidence_sentences(spark, d):
-    return lookup.evidence_sentences(pair_texts(spark, d).withColumn("id", F.concat_ws("/", "conv_id", "turn")), "id", "answer", "question")
+    return lookup.evidence_sentences(pair_texts(spark, d).withColumn("id", F.concat_ws("/", "conv_id", "turn")), "id", "answer", "question").withColumn("sentences", F.array_join("sentences", "|"))
 
 
 @query()
@@ -522,3 +474,6 @@ def metadata_probe(spark, d):
     f = X.metadata_features(F.col("text"))
     g = docs(spark, d).join(table(spark, d, "labels"), "doc_id").select("doc_id", F.col("quality").alias("label"), *(c.cast("double").alias(k) for k, c in f.items()))
     return models.probe(g, list(f), "label", "doc_id").select("model", "n", r6("macro_f1", "macro_f1"))
+
+
+from textmill.plans import corpus, texts  # noqa: E402, F401  registers more queries
