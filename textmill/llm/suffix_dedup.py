@@ -220,33 +220,35 @@ def suffix_array(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Places of data in the order of the SIZE bytes that follow them: all of starts, and those their order is induced from."""
     padded = np.concatenate([data, np.zeros(SIZE + 1, np.uint8)])
     cur, succ = padded[:-1], padded[1:]
-    # a suffix is larger than its successor if the first byte unlike its successor is smaller than it
-    here = np.where(cur != succ, np.arange(len(cur)), len(cur) - 1)
-    turn = np.minimum.accumulate(here[::-1])[::-1]
-    larger = cur[turn] > succ[turn]
-    direct = np.flatnonzero(~larger)
-    down = direct[np.searchsorted(direct, starts)]  # the last place is direct, as the padding ends there
+    # a suffix is larger than its successor if the first byte unlike its successor is smaller than it; places fit in 32 bits
+    turn = np.where(cur != succ, np.arange(len(cur), dtype=np.int32), np.int32(len(cur) - 1))
+    turn = np.minimum.accumulate(turn[::-1])[::-1]
+    larger = (cur > succ)[turn]
+    del turn
+    direct = np.flatnonzero(~larger).astype(np.int32)
+    down = direct[np.searchsorted(direct, starts.astype(np.int32))]  # the last place is direct, as the padding ends there
     need = np.zeros(len(padded) + 1, np.int32)
     np.add.at(need, starts, 1)
     np.add.at(need, down + 1, -1)
-    need = np.cumsum(need)[: len(cur)] > 0
+    need = np.cumsum(need, dtype=np.int32)[: len(cur)] > 0
     # first stage: sort the direct ones
-    direct = np.flatnonzero(need & ~larger)
+    direct = np.flatnonzero(need & ~larger).astype(np.int32)
     more = np.concatenate([padded, np.zeros(SIZE, np.uint8)])  # a direct one may begin in the padding
     records = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(more, SIZE)[direct])
     direct = direct[np.argsort(records.view(f"S{SIZE}").ravel())]
     del records
     # second stage: scan the buckets; a successor stands in an earlier one, or in the same one nearer to the end of a run of equal bytes
-    induced = np.flatnonzero(need & larger)
+    induced = np.flatnonzero(need & larger).astype(np.int32)
+    del need, larger
     induced = induced[np.argsort(cur[induced], kind="stable")]
     edge = np.searchsorted(cur[induced], np.arange(257))
     cut = np.searchsorted(cur[direct], np.arange(257))
-    rank = np.full(len(padded), -1, np.int64)
+    rank = np.full(len(padded), -1, np.int32)
     out, made = [], 0
 
     def place(some: np.ndarray) -> None:
         nonlocal made
-        rank[some] = np.arange(made, made + len(some))
+        rank[some] = np.arange(made, made + len(some), dtype=np.int32)
         made += len(some)
         out.append(some)
 
