@@ -180,3 +180,28 @@ def test_ngram_terms(spark):
     terms = models.ngram_features(d, "tokens").first()["terms"]
     assert {"ab", "c", "ab c"} <= set(terms) and any("b" in x and len(x) == 3 for x in terms)
     assert d.select(text.word_ngrams(F.col("tokens"), 3)).first()[0] == []
+
+
+def test_exit_codes(spark, tmp_path, capsys):
+    from textmill import cli
+
+    def write(name, labels):
+        rows = [{"id": f"a_{name}_{i}".replace(name, str(len(name))) + f"{i}", "pair_id": f"{name}{i // 2}", "label": x, "hallucination_type": "none" if x else "entity", "condition": "has_context" if i % 5 < 3 else "no_context", "context": "a passage" if i % 5 < 3 else "", "question": "q", "candidate_answer": "passage", "difficulty": "easy", "excluded": False} for i, x in enumerate(labels)]
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+
+    write("train", [1, 0] * 10)
+    write("dev", [1, 0] * 5)
+    write("test", [1, 0] * 5)
+    path = str(tmp_path)
+    assert cli.main(["gate", path], spark) == 0
+    assert cli.main(["evaluate", path, "--split", "test"], spark) == 1 and "refused" in capsys.readouterr().out
+    assert cli.main(["evaluate", path, "--split", "test", "--final"], spark) == 0
+    write("dev", [1] * 30)
+    assert cli.main(["gate", path], spark) == 1
+
+
+def test_coefficients_and_what_is_missing(spark):
+    d = spark.createDataFrame([(float(i % 2), float(i % 3), 0.0, i % 2) for i in range(30)], "x double, y double, z double, label int")
+    top = models.top_coefficients(models.numeric_model(["x", "y", "z"]).fit(d), ["x", "y", "z"], 2)
+    assert [n for n, _ in top] == ["x", "y"] and top[0][1] > 0
+    assert models.missing(["a"], ["b", "a"]) == ["b"] and models.confidence_scale("bow_svm") == "margin" and models.confidence_scale("tfidf_nb") == "probability"

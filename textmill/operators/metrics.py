@@ -215,3 +215,25 @@ def length_distribution(df: DataFrame, size: str, shares: tuple[float, ...] = (0
     per = per.withColumn("upto", upto).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
     pick = [F.min(F.when(F.col("upto") > F.floor(F.col("total") * s), F.col(size))).alias(f"p{round(s * 100)}") for s in shares]
     return per.agg(*pick, F.max(size).alias("max"))
+
+
+def overlap_probe(df: DataFrame, truth: str, copied: str, level: str, warn_at: float = 0.70) -> DataFrame:
+    """(value, n, macro_f1, warn) of the rule that an answer copied from its passage is right, over all rows and per level; `warn`: a string matcher nearly solves all of them."""
+    s = slice_by(df, truth, copied, [level])
+    return s.select("value", "n", "macro_f1", ((F.col("slice") == "all") & (F.col("macro_f1") >= warn_at)).alias("warn"))
+
+
+def majority_prior(df: DataFrame, truth: str) -> DataFrame:
+    """(majority, n, macro_f1) of always predicting the most common label, the smaller one of a tie."""
+    per = df.where(F.col(truth).isNotNull()).groupBy(truth).agg(F.count(F.lit(1)).alias("n"))
+    g = per.agg(F.max_by(truth, F.struct("n", -F.col(truth))).alias("majority"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    return g.select("majority", "n", (F.col("most") / (F.col("most") + F.col("n"))).alias("macro_f1"))
+
+
+def baseline_table(df: DataFrame, truth: str, rules: dict[str, Column], slices: list[str]) -> DataFrame:
+    """(model, slice, value, n, macro_f1, accuracy): every rule over all rows and over each value of the slices, in one pass."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("model"), c.cast("int").alias("p")) for k, c in rules.items()))).alias("m")
+    d = df.select(truth, *(F.col(c).cast("string").alias(c) for c in slices), each).select(truth, *slices, "m.model", F.col("m.p").alias("__p"))
+    parts = F.array(F.struct(F.lit("all").alias("slice"), F.lit("all").alias("value")), *(F.struct(F.lit(c).alias("slice"), F.col(c).alias("value")) for c in slices))
+    long = d.select(truth, "model", "__p", F.explode(parts).alias("s"))
+    return long.groupBy("model", "s.slice", "s.value").agg(F.count(F.lit(1)).alias("n"), macro_f1(truth, "__p").alias("macro_f1"), accuracy(truth, "__p").alias("accuracy"))

@@ -103,3 +103,20 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def top_coefficients(model: PipelineModel, names: list[str], k: int = 3) -> list[tuple[str, float]]:
+    """The k names with the largest weights by size of a linear model over these columns. The model is on the driver as it is."""
+    weights = model.stages[-1].coefficients.toArray()
+    order = sorted(range(len(names)), key=lambda i: (-abs(weights[i]), names[i]))
+    return [(names[i], float(weights[i])) for i in order[:k]]
+
+
+def confidence_scale(name: str) -> str:
+    """What a model's confidence is: a probability, or a margin where it gives none."""
+    return "margin" if MODELS.get(name, ("", name))[1] == "svm" else "probability"
+
+
+def missing(built: list[str], wanted: list[str]) -> list[str]:
+    """The wanted models that aren't built yet."""
+    return sorted(set(wanted) - set(built))

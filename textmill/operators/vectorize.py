@@ -23,6 +23,13 @@ def numbered(vocab: DataFrame) -> DataFrame:
     return vocab.withColumn("id", F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1)
 
 
+def keep_probability(vocab: DataFrame, sample: float = 1e-3) -> DataFrame:
+    """(word, n, keep): how often a word is kept when frequent ones are thinned: (sqrt(f / sample) + 1) * sample / f of its share f, 1 at most."""
+    total = vocab.agg(F.sum("n").alias("__total"))
+    f = F.col("n") / F.col("__total")
+    return vocab.crossJoin(total).select("word", "n", F.least(F.lit(1.0), (F.sqrt(f / sample) + 1) * sample / f).alias("keep"))  # one row on the right
+
+
 def idf(df: DataFrame, tokens: str, least: int = 1) -> DataFrame:
     """(word, df, idf): ln((1 + N) / (1 + df)) + 1."""
     n = df.agg(F.count(F.lit(1)).alias("docs"))

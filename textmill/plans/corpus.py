@@ -418,3 +418,36 @@ def seeded_order(spark, d):
 def cluster_draws(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("r"))
     return c.select("c", "r", metrics.draws(F.col("c"), F.col("r"), 42).alias("n"))
+
+
+_COPIED = f"(SELECT lang, t, p, CASE WHEN p = 1 THEN 'easy' ELSE 'hard' END AS level FROM {_P})"
+
+
+def _f1(t: str, p: str) -> str:
+    one = lambda k: f"CASE WHEN count(*) FILTER ({t} = {k} OR {p} = {k}) > 0 THEN 2.0::DOUBLE * count(*) FILTER ({t} = {k} AND {p} = {k}) / (count(*) FILTER ({t} = {k}) + count(*) FILTER ({p} = {k})) ELSE 0 END"
+    return f"round(({one(0)} + {one(1)}) / 2, 6)"
+
+
+@query(f"WITH r AS (SELECT t, p, unnest(['all', level]) AS value FROM {_COPIED}) SELECT value, count(*) AS n, {_f1('t', 'p')} AS macro_f1, value = 'all' AND {_f1('t', 'p')} >= 0.7 AS warn FROM r GROUP BY value")
+def overlap_probe_levels(spark, d):
+    g = graded(spark, d).withColumn("p", (F.col("n_chars") > 1000).cast("int")).withColumn("level", F.when(F.col("p") == 1, "easy").otherwise("hard"))
+    return metrics.overlap_probe(g, "quality", "p", "level").select("value", "n", r6("macro_f1", "macro_f1"), "warn")
+
+
+@query(f"WITH c AS (SELECT t, count(*) AS n FROM {_P} GROUP BY t) SELECT arg_max(t, n) AS majority, sum(n)::BIGINT AS n, round(max(n)::DOUBLE / (max(n) + sum(n)), 6) AS macro_f1 FROM c")
+def majority_prior(spark, d):
+    return metrics.majority_prior(graded(spark, d), "quality").select("majority", "n", r6("macro_f1", "macro_f1"))
+
+
+@query(f"""WITH r AS (SELECT lang, quality AS t, unnest(['exact', 'fuzzy', 'always correct', 'always wrong']) AS model, unnest([(n_chars > 1000)::INT, (n_chars > 300)::INT, 1, 0]) AS p FROM ({GRADED})), s AS (SELECT model, t, p, unnest([{{'s': 'all', 'v': 'all'}}, {{'s': 'lang', 'v': lang}}]) AS k FROM r)
+SELECT model, k.s AS slice, k.v AS value, count(*) AS n, {_f1('t', 'p')} AS macro_f1, round(avg((t = p)::INT), 6) AS accuracy FROM s GROUP BY ALL""")
+def baseline_table(spark, d):
+    rules = {"exact": F.col("n_chars") > 1000, "fuzzy": F.col("n_chars") > 300, "always correct": F.lit(1), "always wrong": F.lit(0)}
+    t = metrics.baseline_table(graded(spark, d), "quality", rules, ["lang"])
+    return t.select("model", "slice", "value", "n", r6("macro_f1", "macro_f1"), r6("accuracy", "accuracy"))
+
+
+@query(r"""WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS word FROM documents), v AS (SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= 5), f AS (SELECT word, n, n::DOUBLE / (SELECT sum(n) FROM v) AS f FROM v) SELECT word, n, round(least(1.0::DOUBLE, (sqrt(f / 0.001::DOUBLE) + 1) * 0.001::DOUBLE / f), 6) AS keep FROM f""")
+def thinning_of_words(spark, d):
+    v = vectorize.vocabulary(docs(spark, d).withColumn("tokens", lower_words()), "tokens", 5)
+    return vectorize.keep_probability(v).select("word", "n", r6("keep", "keep"))
