@@ -50,7 +50,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mixing),
 ]
 
-#: SQL can't express the MinHash, SimHash and rounding stages; tests hold each stage against brute force.
+#: SQL can't express the MinHash, SimHash and rounding stages. Tests hold line dedup, near duplicates and decontamination against brute
+#: force, the base rules of quality rules, too, and mixing by its targets, ids and expectations.
 ORACLE_SQL: str | None = None
 
 
