@@ -13,6 +13,7 @@ from textmill.session import ship
 
 #: The word rule of all operators here.
 WORD = r"[^\x20\x09-\x0D]+"
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,11 +42,21 @@ def ready(spark: SparkSession) -> None:
     ship(spark)
 
 
-def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, any executor can read it again, and it survives lost executors."""
+def written(df: DataFrame, spark: SparkSession | None = None, release: bool = False) -> DataFrame:
+    """df as a table in the shared folder: its lineage is cut, any executor can read it again, and it survives lost executors.
+
+    release: Spark deletes the shuffle files of this write when it ends, not when the driver next collects garbage.
+    """
     spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/textmill/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(RELEASE, None)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._textmill_path = path
     return out

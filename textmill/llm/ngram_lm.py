@@ -4,7 +4,8 @@ Training: tasks count the n-grams of their texts before anything is shuffled and
 before the last. So a bucket holds whole contexts: it writes the sorted keys and counts of its n-grams, and the totals of its contexts, to
 a file in the shared folder. It sends on the suffixes of its n-grams, one word shorter, each with its number of distinct first words there;
 as an n-gram is in one bucket only, their sums are the continuation counts of the next lower order, dealt by their own
-contexts. Counts of an n-gram that starts with the begin mark are plain counts, as nothing precedes it.
+contexts. Counts of an n-gram that starts with the begin mark are plain counts, as nothing precedes it. An order is done in PASSES passes over ranges of its buckets, whose shuffle
+files go when their pass ends: that bounds the disk, and costs as many readings of the texts.
 
 What is shuffled is packed: a block has a dictionary of its words, columns of numbers in it, sorted, and counts. Context totals are kept as
 numbers of the distinct ones, since most contexts have one continuation.
@@ -17,7 +18,9 @@ unigrams stands 1 / (V + 1) for each of the V training tokens and for any unknow
 
 Defined cases: null and empty texts are one end token; a very long text is counted and scored like any other; a null doc_id trains; repeated
 rows count as often as they stand; without training text every probability is 1; discounts that the counts of counts can't give are 0.5,
-1 and 1.5; other columns aren't read. Keys are 64-bit hashes of words and n-grams.
+1 and 1.5; other columns aren't read. Keys are hashes: 64 bits of
+words, and of longer n-grams the upper 56. In a bucket of ten million n-grams two share a key with probability 0.001, and one that isn't
+there is taken for another with 2e-10.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -35,13 +39,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textmill.llm._bytes import Texts, U, chunks, mix
-from textmill.llm._shared import dropped, partitions, ready, shared_dir, written
+from textmill.llm._shared import dropped, partitions, ready, shared_dir, union, written
 
 ORDER = 3
 BEGIN, END = U(0x0B0B0B0B0B0B0B0B), U(0x0E0E0E0E0E0E0E0E)
 FLUSH = 2_000_000
 #: Buckets per shuffle partition, unless these have under LEAST or over MOST bytes of the table: a bucket is what a worker holds at once.
 SPLIT, LEAST, MOST = 4, 1 << 20, 1 << 26
+#: Passes over the n-grams of an order, each over as many buckets: only the shuffle of one stands on disk, and texts are read once for each.
+PASSES = 4
 STAGE = "kind int, bucket int, packed binary"
 NEXT, STATS = 0, 1
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -121,8 +127,8 @@ def grouped(columns: list[np.ndarray], size: int, counts: list[np.ndarray]) -> t
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets as ranges of the hash, in order."""
-    return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+    """Buckets as ranges of the lower half of the hash."""
+    return ((h & U(0xFFFFFFFF)) * U(buckets) >> U(32)).astype(np.int64)
 
 
 def context_of(words: list[np.ndarray]) -> np.ndarray:
@@ -163,20 +169,24 @@ def ngrams(off: np.ndarray, words: np.ndarray, n: int, begin=BEGIN) -> list[np.n
     return [*columns, words]
 
 
-def _counted(n: int, buckets: int):
+def _counted(n: int, buckets: int, low: int, high: int):
+    """Counts the n-grams of the buckets from low to high - 1."""
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            off = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for o, _ in held]))])
-            kinds, codes = np.unique(np.concatenate([*(w for _, w in held), [BEGIN]]), return_inverse=True)
-            columns, (count,) = grouped(ngrams(off, codes[:-1], n, codes[-1]), len(kinds), [])
+            kinds, codes = np.unique(np.concatenate([np.concatenate(c) for c in zip(*held, strict=True)]), return_inverse=True)
+            columns, (count,) = grouped(list(codes.reshape(n, -1)), len(kinds), [])
             rows = list(_dealt(kinds, columns, [count, count], buckets))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["kind", "bucket", "packed"])
 
         for batch in chunks(batches, "text"):
-            held.append(tokens(Texts(batch.column(0))))
-            size += len(held[-1][1])
+            columns = ngrams(*tokens(Texts(batch.column(0))), n)
+            to = bucket_of(context_of(columns), buckets)
+            some = np.flatnonzero((to >= low) & (to < high))
+            held.append([c[some] for c in columns])
+            size += len(some)
             if size >= FLUSH:
                 yield flush()
                 held, size = [], 0
@@ -239,6 +249,29 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
 
 
+def _split(key: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    """The upper 56 bits of sorted hashes, as three arrays."""
+    return {name: (key >> U(32)).astype(np.uint32), name + "_mid": (key >> U(16)).astype(np.uint16), name + "_low": (key >> U(8)).astype(np.uint8)}
+
+
+def _find(table: dict[str, np.ndarray], column: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, found) of ascending keys in a sorted column, whole or split."""
+    own, last = table[column], len(table[column]) - 1
+    if own.dtype == U:
+        k = np.minimum(np.searchsorted(own, keys), last)
+        return k, own[k] == keys
+    want, rest = (keys >> U(32)).astype(np.uint32), (keys >> U(8)).astype(np.uint32) & 0xFFFFFF
+    mid, low = table[column + "_mid"], table[column + "_low"]
+    k = np.minimum(np.searchsorted(own, want), last)
+    while True:  # few share the upper half
+        same = own[k] == want
+        here = mid[k].astype(np.uint32) << 8 | low[k]
+        on = same & (here < rest) & (k < last)
+        if not on.any():
+            return k, same & (here == rest)
+        k = k + on
+
+
 def _tier(n: int, below_buckets: int, uri: str):
     """A bucket of n-grams (adjusted count, plain count): writes its file; what goes on to the lower order, and the statistics."""
 
@@ -250,7 +283,8 @@ def _tier(n: int, below_buckets: int, uri: str):
         out = []
         key = words[0] if n == 1 else ngram_key(words)
         order = np.argsort(key)
-        arrays = {"key": key[order], "adjusted": _small(adjusted[order])}
+        arrays = {"key": key[order]} if n == 1 else _split(key[order], "key")
+        arrays["adjusted"] = _small(adjusted[order])
         if n == 1:
             arrays["plain"] = _small(plain[order])
         else:
@@ -262,7 +296,7 @@ def _tier(n: int, below_buckets: int, uri: str):
             _, which, kind = np.unique(ngram_key([x.astype(U) for x in sums]), return_index=True, return_inverse=True)
             context = ngram_key([w[first] for w in words[:-1]])
             order = np.argsort(context)
-            arrays |= {"context": context[order], "sums": _small(kind[order])} | {f"sum{k}": sums[k][which] for k in range(4)}
+            arrays |= _split(context[order], "context") | {"sums": _small(kind[order])} | {f"sum{k}": sums[k][which] for k in range(4)}
             tail, sums = grouped(columns[1:], len(kinds), [np.ones(len(key), np.int64), plain])
             more = np.where(kinds[tail[0]] == BEGIN, sums[1], sums[0])
             out += _dealt(kinds, tail, [more, sums[1]], below_buckets)
@@ -304,8 +338,7 @@ class Model:
             if table is None:
                 continue
             some = order[at[b] : at[b + 1]]
-            k = np.minimum(np.searchsorted(table[column], keys[some]), len(table[column]) - 1)
-            hit = table[column][k] == keys[some]
+            k, hit = _find(table, column, keys[some])
             for o, name in zip(out, names, strict=True):
                 o[some[hit]] = table[name][k[hit]] if not name.startswith("sum") else table[name][table["sums"][k[hit]]]
         return out
@@ -340,23 +373,29 @@ def bucket_counts(texts: DataFrame, order: int) -> dict[int, int]:
     return {n: some if n == order else max(1, some // 8) for n in range(1, order + 1)}
 
 
-def train(texts: DataFrame, order: int = ORDER) -> Model:
+def train(texts: DataFrame, order: int = ORDER, passes: int = PASSES) -> Model:
     """A model of the texts of a one-column DataFrame (text)."""
     spark = texts.sparkSession
     ready(spark)
     buckets = bucket_counts(texts, order)
     uri = f"{shared_dir(spark)}/ngram/{uuid.uuid4().hex}"
-    stage = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted(order, buckets[order]), STAGE)
-    discounts, stats, old = {}, [0] * 8, None
+    texts = texts.select(F.col("text").cast("string").alias("text"))
+    discounts, stats, old = {}, [0] * 8, []
     for n in range(order, 0, -1):
-        done = written(stage.where(F.col("kind") == NEXT).groupBy("bucket").applyInPandas(_tier(n, buckets.get(n - 1, 1), uri), STAGE))
-        if old is not None:
-            dropped(spark, old)
-        rows = [np.frombuffer(r[0], np.int64) for r in done.where(F.col("kind") == STATS).select("packed").collect()]  # one row per bucket
+        cuts = sorted({buckets[n] * k // passes for k in range(passes + 1)})
+        done = []
+        for low, high in pairwise(cuts):
+            if n == order:
+                stage = texts.mapInArrow(_counted(n, buckets[n], low, high), STAGE)
+            else:
+                stage = union(old).where((F.col("kind") == NEXT) & (F.col("bucket") >= low) & (F.col("bucket") < high))
+            done.append(written(stage.groupBy("bucket").applyInPandas(_tier(n, buckets.get(n - 1, 1), uri), STAGE), release=True))
+        dropped(spark, *old)
+        rows = [np.frombuffer(r[0], np.int64) for r in union(done).where(F.col("kind") == STATS).select("packed").collect()]  # one row per bucket
         stats = np.sum(rows, axis=0).tolist() if rows else [0] * 8
         discounts[n] = discounts_of(*stats[:4])
-        stage, old = done, done
-    dropped(spark, old)
+        old = done
+    dropped(spark, *old)
     return Model(uri, order, buckets, discounts, stats)
 
 
