@@ -71,7 +71,8 @@ def pack(kinds: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray])
     used, codes = np.unique(np.concatenate(columns), return_inverse=True)
     codes = codes.reshape(len(columns), -1)
     lead = codes[-2] if len(columns) > 1 else codes[0]  # ascending
-    parts = [kinds[used].tobytes(), _planes(np.diff(lead, prepend=0)), *(_planes(c) for k, c in enumerate(codes) if k != max(0, len(columns) - 2)), *(_planes(c) for c in counts)]
+    gaps = np.diff(kinds[used], prepend=U(0)).view(np.uint8).reshape(-1, 8).T  # as _planes, in 8 bytes
+    parts = [gaps.tobytes(), _planes(np.diff(lead, prepend=0)), *(_planes(c) for k, c in enumerate(codes) if k != max(0, len(columns) - 2)), *(_planes(c) for c in counts)]
     head = np.array([len(used), len(lead)], np.int64).tobytes()
     raw = head + b"".join(parts)
     return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
@@ -80,9 +81,9 @@ def pack(kinds: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray])
 def unpack(packed: bytes, n: int, counts: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     raw = np.frombuffer(pa.decompress(packed[8:], int(np.frombuffer(packed, np.int64, 1)[0]), "zstd"), np.uint8)
     used, rows = (int(x) for x in raw[:16].view(np.int64))
-    kinds = raw[16 : 16 + 8 * used].copy().view(U)
-    rest = np.ascontiguousarray(raw[16 + 8 * used :].reshape(n + counts, 4, rows).transpose(0, 2, 1)).view("<u4")[..., 0].astype(np.int64)
-    lead = np.cumsum(rest[0])
+    kinds = np.cumsum(np.ascontiguousarray(raw[16 : 16 + 8 * used].reshape(8, used).T).view(U).ravel(), dtype=U)
+    rest = np.ascontiguousarray(raw[16 + 8 * used :].reshape(n + counts, 4, rows).transpose(0, 2, 1)).view("<u4")[..., 0]
+    lead = np.cumsum(rest[0], dtype=np.uint32)
     at = max(0, n - 2)
     columns = [*rest[1:n]]
     columns.insert(at, lead)
@@ -92,7 +93,7 @@ def unpack(packed: bytes, n: int, counts: int) -> tuple[np.ndarray, list[np.ndar
 def merged(parts: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """The unpacked blocks as one, over one dictionary."""
     kinds = np.unique(np.concatenate([p[0] for p in parts]))
-    to = [np.searchsorted(kinds, p[0]) for p in parts]
+    to = [np.searchsorted(kinds, p[0]).astype(np.uint32) for p in parts]
     columns = [np.concatenate([t[p[1][k]] for t, p in zip(to, parts, strict=True)]) for k in range(len(parts[0][1]))]
     return kinds, columns, [np.concatenate([p[2][k] for p in parts]) for k in range(len(parts[0][2]))]
 
@@ -123,7 +124,7 @@ def grouped(columns: list[np.ndarray], size: int, counts: list[np.ndarray]) -> t
     rows = [*rows[-2::-1], rows[-1]] if len(rows) > 1 else rows
     if not counts:
         return rows, [np.diff(np.append(first, len(columns[0])))]
-    return rows, [np.add.reduceat(c[order], first) for c in counts]
+    return rows, [np.add.reduceat(c[order], first, dtype=np.int64) for c in counts]
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -244,9 +245,30 @@ def _mapped(path: str) -> dict[str, np.ndarray]:
     return {k: table.column(k).chunk(0).values.to_numpy() for k in table.column_names}
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    """The numbers in as few bytes as the largest needs."""
-    return x.astype(np.min_scalar_type(int(x.max())) if len(x) else np.uint8)
+def _narrow(x: np.ndarray, name: str) -> dict[str, np.ndarray]:
+    """Numbers in a byte each; those that need more stand apart, by place."""
+    big = np.flatnonzero(x >= 255)
+    return {name: np.minimum(x, 255).astype(np.uint8), name + "_at": big.astype(np.uint32), name + "_big": x[big].astype(np.int64)}
+
+
+def _wide(table: dict[str, np.ndarray], name: str, k: np.ndarray) -> np.ndarray:
+    """The numbers at places k."""
+    out = table[name][k].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    if len(big):
+        out[big] = table[name + "_big"][np.searchsorted(table[name + "_at"], k[big])]
+    return out
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, ascending; a place of each; for each key its number among them)."""
+    order = np.argsort(keys)
+    ascending = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    where = np.empty(len(keys), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return ascending[new], order[new], where
 
 
 def _split(key: np.ndarray, name: str) -> dict[str, np.ndarray]:
@@ -279,24 +301,27 @@ def _tier(n: int, below_buckets: int, uri: str):
         b = int(rows["bucket"].iloc[0])
         kinds, columns, counts = merged([unpack(x, n, 2) for x in rows["packed"]])
         columns, (adjusted, plain) = grouped(columns, len(kinds), counts)
+        del counts
         words = [kinds[c] for c in columns]
         out = []
         key = words[0] if n == 1 else ngram_key(words)
         order = np.argsort(key)
         arrays = {"key": key[order]} if n == 1 else _split(key[order], "key")
-        arrays["adjusted"] = _small(adjusted[order])
+        arrays |= _narrow(adjusted[order], "adjusted")
         if n == 1:
-            arrays["plain"] = _small(plain[order])
+            arrays |= _narrow(plain[order], "plain")
         else:
             new = np.arange(len(key)) == 0
             for c in columns[:-1]:
                 new[1:] |= c[1:] != c[:-1]
             first = np.flatnonzero(new)
             sums = np.stack([np.add.reduceat(x, first) for x in (adjusted, (adjusted == 1).astype(np.int64), (adjusted == 2).astype(np.int64), (adjusted > 2).astype(np.int64))])
-            _, which, kind = np.unique(ngram_key([x.astype(U) for x in sums]), return_index=True, return_inverse=True)
+            _, which, kind, often = np.unique(ngram_key([x.astype(U) for x in sums]), return_index=True, return_inverse=True, return_counts=True)
+            common = np.argsort(-often)  # the commonest get the numbers that take a byte
+            which, kind = which[common], np.argsort(common)[kind]
             context = ngram_key([w[first] for w in words[:-1]])
             order = np.argsort(context)
-            arrays |= _split(context[order], "context") | {"sums": _small(kind[order])} | {f"sum{k}": sums[k][which] for k in range(4)}
+            arrays |= _split(context[order], "context") | _narrow(kind[order], "sums") | {f"sum{k}": sums[k][which] for k in range(4)}
             tail, sums = grouped(columns[1:], len(kinds), [np.ones(len(key), np.int64), plain])
             more = np.where(kinds[tail[0]] == BEGIN, sums[1], sums[0])
             out += _dealt(kinds, tail, [more, sums[1]], below_buckets)
@@ -328,9 +353,9 @@ class Model:
         return np.maximum(a - np.select([a > 2, a == 2, a == 1], [d[2], d[1], d[0]], 0.0), 0.0)
 
     def _lookup(self, n: int, context: np.ndarray, keys: np.ndarray, column: str, names: list[str]) -> list[np.ndarray]:
-        """The values of ascending keys, 0 where there is none; context: what each is dealt by."""
+        """The values of keys, best ascending, 0 where there is none; context: what each is dealt by."""
         out = [np.zeros(len(keys), np.int64) for _ in names]
-        to = bucket_of(context, self.buckets[n])
+        to = bucket_of(context, self.buckets[n]).astype(np.min_scalar_type(self.buckets[n]))
         order = np.argsort(to, kind="stable")
         at = np.searchsorted(to[order], np.arange(self.buckets[n] + 1))
         for b in np.flatnonzero(np.diff(at)).tolist():
@@ -339,25 +364,29 @@ class Model:
                 continue
             some = order[at[b] : at[b + 1]]
             k, hit = _find(table, column, keys[some])
+            some, k = some[hit], k[hit]
+            kind = _wide(table, "sums", k) if column == "context" else None
             for o, name in zip(out, names, strict=True):
-                o[some[hit]] = table[name][k[hit]] if not name.startswith("sum") else table[name][table["sums"][k[hit]]]
+                o[some] = _wide(table, name, k) if kind is None else table[name][kind]
         return out
 
     def score(self, off: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(plain count, base log10 probability, log10 probability) of each token."""
-        kinds, back = np.unique(words, return_inverse=True)
-        plain, adjusted = self._lookup(1, context_of([kinds]), kinds, "key", ["plain", "adjusted"])
+        own, _, where = distinct(words)
+        back = where
+        plain, adjusted = self._lookup(1, context_of([own]), own, "key", ["plain", "adjusted"])
         p = ((self._discounted(1, adjusted) / max(1, self.continuations)) + (self.rest if self.n else 1.0) / (self.v + 1))[back]
         base = np.log10((plain + 0.5) / (self.n + 0.5 * (self.v + 1)))[back]
         for n in range(2, self.order + 1):
-            columns = ngrams(off, words, n)
-            context = ngram_key(columns[:-1])
-            key, first, where = np.unique(ngram_key(columns), return_index=True, return_inverse=True)
-            (a,) = self._lookup(n, context[first], key, "key", ["adjusted"])
-            own, at = np.unique(context, return_inverse=True)
+            # the context of a token is the shorter n-gram that ends with the token before it
+            own = np.append(own if n > 2 else ngram_key([own]), ngram_key([np.full(1, BEGIN)] * (n - 1)))
+            at = np.roll(where, 1)
+            at[off[:-1]] = len(own) - 1
             total, *kind = self._lookup(n, own, own, "context", ["sum0", "sum1", "sum2", "sum3"])
             weight = sum(d * x for d, x in zip(self.discounts[n], kind, strict=True)) / np.maximum(total, 1)
-            total, weight = total[at], weight[at]
+            context, total, weight = own[at], total[at], weight[at]
+            own, some, where = distinct(ngram_key(ngrams(off, words, n)))
+            (a,) = self._lookup(n, context[some], own, "key", ["adjusted"])
             p = np.where(total > 0, self._discounted(n, a)[where] / np.maximum(total, 1) + weight * p, p)
         return plain[back], base, np.log10(p)
 
@@ -370,7 +399,7 @@ def bucket_counts(texts: DataFrame, order: int) -> dict[int, int]:
     some = SPLIT * partitions(spark)
     if size < 1 << 60:  # known
         some = max(1, min(some, size // LEAST), size // MOST)
-    return {n: some if n == order else max(1, some // 8) for n in range(1, order + 1)}
+    return {n: some if n == order else max(1, some // 5) for n in range(1, order + 1)}
 
 
 def train(texts: DataFrame, order: int = ORDER, passes: int = PASSES) -> Model:
