@@ -5,7 +5,7 @@ before the last. So a bucket holds whole contexts: it writes the sorted keys and
 a file in the shared folder. It sends on the suffixes of its n-grams, one word shorter, each with its number of distinct first words there;
 as an n-gram is in one bucket only, their sums are the continuation counts of the next lower order, dealt by their own
 contexts. Counts of an n-gram that starts with the begin mark are plain counts, as nothing precedes it. An order is done in PASSES passes over ranges of its buckets, whose shuffle
-files go when their pass ends: that bounds the disk, and costs as many readings of the texts.
+files go when their pass ends: that bounds the disk, and costs as many readings of the texts, or of the order above.
 
 What is shuffled is packed: a block has a dictionary of its words, columns of numbers in it, sorted, and counts. Context totals are kept as
 numbers of the distinct ones, since most contexts have one continuation.
@@ -46,7 +46,8 @@ BEGIN, END = U(0x0B0B0B0B0B0B0B0B), U(0x0E0E0E0E0E0E0E0E)
 FLUSH = 2_000_000
 #: Buckets per shuffle partition, unless these have under LEAST or over MOST bytes of the table: a bucket is what a worker holds at once.
 SPLIT, LEAST, MOST = 4, 1 << 20, 1 << 26
-#: Passes over the n-grams of an order, each over as many buckets: only the shuffle of one stands on disk, and texts are read once for each.
+#: Passes over the n-grams of the highest order, each over as many buckets, reading the texts; lower orders take twice as many. Only the
+#: shuffle of one pass stands on disk.
 PASSES = 4
 STAGE = "kind int, bucket int, packed binary"
 NEXT, STATS = 0, 1
@@ -399,7 +400,7 @@ def bucket_counts(texts: DataFrame, order: int) -> dict[int, int]:
     some = SPLIT * partitions(spark)
     if size < 1 << 60:  # known
         some = max(1, min(some, size // LEAST), size // MOST)
-    return {n: some if n == order else max(1, some // 5) for n in range(1, order + 1)}
+    return {n: some if n == order else max(1, some // 6) for n in range(1, order + 1)}
 
 
 def train(texts: DataFrame, order: int = ORDER, passes: int = PASSES) -> Model:
@@ -411,7 +412,8 @@ def train(texts: DataFrame, order: int = ORDER, passes: int = PASSES) -> Model:
     texts = texts.select(F.col("text").cast("string").alias("text"))
     discounts, stats, old = {}, [0] * 8, []
     for n in range(order, 0, -1):
-        cuts = sorted({buckets[n] * k // passes for k in range(passes + 1)})
+        parts = passes if n == order else 2 * passes  # no text is read again, so more passes cost little
+        cuts = sorted({buckets[n] * k // parts for k in range(parts + 1)})
         done = []
         for low, high in pairwise(cuts):
             if n == order:
