@@ -223,6 +223,23 @@ def test_language_model(spark, rows, docs, order):
         assert math.isclose(r["base_score"], w[4], rel_tol=1e-6) and math.isclose(r["score"], w[5], rel_tol=1e-5)
 
 
+def test_language_model_over_many_buckets_and_passes(spark, rows, docs, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "bucket_counts", lambda texts, order: {1: 3, 2: 5, 3: 11})
+    want, _, _ = brute.kneser_ney(rows, 3, ngram_lm.discounts_of)
+    got = ngram_lm.score_held_out(docs).collect()
+    assert len(got) == len(want) and all(math.isclose(r["score"], want[r["doc_id"]][5], rel_tol=1e-5) for r in got)
+
+
+def test_split_keys_and_narrow_numbers():
+    keys = np.array([1 << 8, 2 << 8, (5 << 32) + (1 << 8), (5 << 32) + (7 << 16), (5 << 32) + (9 << 16), 2**64 - 256], np.uint64)
+    table = ngram_lm._split(keys, "key")
+    k, found = ngram_lm._find(table, "key", keys)
+    assert found.all() and k.tolist() == [0, 1, 2, 3, 4, 5]
+    assert not ngram_lm._find(table, "key", np.array([0, 3 << 8, 5 << 32, (5 << 32) + (8 << 16), 6 << 32], np.uint64))[1].any()
+    x = np.array([0, 254, 255, 256, 7, 1 << 40])
+    assert ngram_lm._wide(ngram_lm._narrow(x, "x"), "x", np.array([5, 0, 3, 2, 1, 4])).tolist() == x[[5, 0, 3, 2, 1, 4]].tolist()
+
+
 def test_registered_language_model_has_order_3(spark, rows, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     want, _, _ = brute.kneser_ney(rows, 3, ngram_lm.discounts_of)
