@@ -1,5 +1,6 @@
 import math
 import random
+import threading
 from fractions import Fraction
 
 import pytest
@@ -151,6 +152,50 @@ def test_blocked_match(spark):
     assert [(r["id"], r["label"]) for r in got] == [(1, 1)]
 
 
+@pytest.mark.parametrize("labelled", [True, False])
+def test_blocked_match_against_all_pairs(spark, labelled):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, n)))
+    entries = [(text(6), rng.sample("xyz", rng.randint(1, 2)), rng.randint(0, 1)) for _ in range(120)]
+    entries = list({e[0]: e for e in entries}.values()) + [("a b c", ["x", "x"], 1), ("C b  a", ["x"], 1)]
+    asked = [(rng.randint(0, 30), text(6), rng.choice("xyzu")) for _ in range(60)] + [(90, None, "x"), (91, "a b c", "x"), (92, "a b c", None)]
+    least, lead, near = 0.5, 0.05, 0.02
+    want = {}
+    for row in {a[0] for a in asked}:
+        found = []
+        for _, q, o in (a for a in asked if a[0] == row):
+            for b, options, label in entries:
+                mine, theirs = set((q or "").split()), set(b.lower().split())
+                score = len(mine & theirs) / len(mine | theirs) if mine | theirs else 0
+                found += [(-score, b, label)] * (options.count(o) if score >= least else 0)
+        found.sort()
+        if found:
+            best, after = -found[0][0], -found[1][0] if found[1:] else 0
+            unanimous = not labelled or len({label for s, _, label in found if -s >= best - near}) == 1
+            if best - after >= lead or unanimous:
+                want[row] = (found[0][1], round(best, 9), round(best - after, 9), unanimous)
+    bank = frame(spark, entries, "bank_q string, options array<string>, label int")
+    got = lookup.blocked_match(frame(spark, asked, "id int, q string, option string"), bank if labelled else bank.drop("label"), "id", "q", "option", "options", "bank_q", least, lead, near)
+    assert {r["id"]: (r["bank_q"], round(r["score"], 9), round(r["margin"], 9), r["unanimous"]) for r in got.collect()} == want and len(want) > 10
+
+
+def test_blocked_match_keeps_scores_that_equal_the_least(spark):
+    long = [f"w{i}" for i in range(25)]
+    bank = frame(spark, [(" ".join(long), ["x"])], "bank_q string, options array<string>")
+    got = lookup.blocked_match(frame(spark, [(1, " ".join(long[:14]), "x")], "id int, q string, option string"), bank, "id", "q", "option", "options", "bank_q", least=0.56)
+    assert [(r["id"], r["score"]) for r in got.collect()] == [(1, 0.56)]
+
+
+def test_blocked_match_compares_repeated_questions_once(spark):
+    bank = spark.range(4000).select(F.concat_ws(" ", F.lit("when was the town founded"), F.concat(F.lit("a"), "id"), F.concat(F.lit("b"), F.col("id") % 63)).alias("bank_q"), F.array(F.lit("x")).alias("options"))
+    asked = spark.range(40000).select("id", F.format_string("when was the town founded a%d b7", F.col("id") % 2 * 63 + 7).alias("q"), F.lit("x").alias("option"))
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    got = lookup.blocked_match(asked, bank, "id", "q", "option", "options", "bank_q").groupBy("bank_q", "score").count().collect()
+    late.cancel()
+    assert sorted(map(tuple, got)) == [(f"when was the town founded a{i} b7", 1.0, 20000) for i in (7, 70)]
+
+
 def test_cascade_and_policy(spark):
     d = frame(spark, [(1, 0.2, None), (2, 0.8, 0), (3, 0.9, None)], "id int, s double, hard int")
     label = lookup.policy(F.col("s"), 0.5, F.col("hard"), [(F.col("id") == 3, F.lit(0))])

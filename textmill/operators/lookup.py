@@ -56,27 +56,60 @@ def needed_rows(bank: DataFrame, df: DataFrame, key: str) -> DataFrame:
     return bank.join(df.select(key).distinct(), key, "left_semi")
 
 
+def similar_sets(own: DataFrame, theirs: DataFrame, block: str, mine: str, other: str, least: float) -> DataFrame:
+    """(block, mine, other, score) of pairs of word sets with word Jaccard `least` in one block; the sets must be distinct arrays.
+
+    Two such sets have a word in common among their first ones, rarest first: all but so many as they must share, and one more. Pairs meet
+    on a word of these, at the first that both have, so none is compared twice.
+    """
+    sizes = F.size(mine), F.size(other)
+    score = S.jaccard(F.col(mine), F.col(other))
+    if least <= 0:  # sets without a common word count, too
+        return own.join(theirs, block).withColumn("score", score).where(F.col("score") >= least)
+    counts = theirs.select(block, F.explode(other).alias("__w")).groupBy(block, "__w").agg(F.count(F.lit(1)).alias("__n"))
+
+    def first_words(sets: DataFrame, c: str, name: str) -> DataFrame:
+        at = sets.select(block, c, F.explode(c).alias("__w")).join(counts, [block, "__w"], "left")
+        ranked = at.groupBy(block, c).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w")))).alias(name))
+        shared = F.ceil(least * F.size(c) - 1e-9).cast("int")
+        return ranked.withColumn(name, F.slice(F.col(name)["w"], F.lit(1), F.greatest(F.size(c) - shared + 1, F.lit(0)))).withColumn("__w", F.explode(name))
+
+    pairs = first_words(own, mine, "__a").join(first_words(theirs, other, "__b"), [block, "__w"])
+    pairs = pairs.where(F.least(*sizes) >= F.lit(least) * F.greatest(*sizes) - 1e-9).where(F.element_at(F.array_intersect("__a", "__b"), 1) == F.col("__w"))
+    return pairs.select(block, mine, other, score.alias("score")).where(F.col("score") >= least)
+
+
+def _leading(scored: DataFrame, keys: list[str], label: list[str], near: float) -> DataFrame:
+    """What can decide the best match of a key or of any union of keys: the two best rows, and the best of each label within `near`."""
+    w, order = Window.partitionBy(*keys), [F.desc("score"), "__q", *label]
+    kept, keep = scored.withColumn("__rank", F.row_number().over(w.orderBy(*order))), F.col("__rank") <= 2
+    if label:
+        kept = kept.withColumns({"__best": F.max("score").over(w), "__nth": F.row_number().over(Window.partitionBy(*keys, *label).orderBy(*order))})
+        keep |= (F.col("__nth") == 1) & (F.col("score") >= F.col("__best") - near)
+    return kept.where(keep).select(*scored.columns)
+
+
 def blocked_match(df: DataFrame, bank: DataFrame, row: str, question: str, option: str, options: str, bank_question: str, least: float = 0.7, lead: float = 0.05, near: float = 0.02) -> DataFrame:
     """(row, bank_question, score, margin, unanimous): bank questions that have the row's option, ranked by word Jaccard of the questions.
 
-    An inverted index on options yields the candidates, so only rows that share one are compared. Kept are best candidates with
-    score `least` and a lead over those with another verdict; `unanimous`: all within `near` of the best agree.
+    An inverted index on options and rare words yields the candidates. Questions with the same words and option are compared once, however
+    many rows ask them, and only what can decide a match goes back to the rows. Kept are best candidates with score `least` and a lead over
+    those with another verdict; `unanimous`: all within `near` of the best agree.
     """
-    rest = [c for c in bank.columns if c not in (bank_question, options, option)]
-    words = lambda c: X.word_set(F.col(c), True)
-    # words are cut once a row, before the join; sets of too unlike sizes are out before they are compared
-    index = bank.select(F.col(bank_question).alias("__q"), words(bank_question).alias("__theirs"), F.explode(options).alias(option), *rest)
-    pairs = df.select(row, words(question).alias("__own"), option).join(index, option)
-    sizes = F.size("__own"), F.size("__theirs")
-    pairs = pairs.where(F.least(*sizes) >= F.lit(least) * F.greatest(*sizes))
-    scored = pairs.withColumn("score", S.jaccard(F.col("__own"), F.col("__theirs"))).where(F.col("score") >= least)
+    label = ["label"] if "label" in bank.columns else []
+    words = lambda c: F.array_sort(X.word_set(F.col(c), True))
+    rows = df.select(row, words(question).alias("__own"), option)
+    index = bank.select(F.col(bank_question).alias("__q"), words(bank_question).alias("__theirs"), F.explode(options).alias(option), *label)
+    index = _leading(index.withColumn("score", F.lit(1.0)), [option, "__theirs"], label, near).drop("score")
+    found = similar_sets(rows.select(option, "__own").distinct(), index.select(option, "__theirs").distinct(), option, "__own", "__theirs", least)
+    scored = rows.join(_leading(found.join(index, [option, "__theirs"]), [option, "__own"], label, near), [option, "__own"])
     w = Window.partitionBy(row)
-    order = w.orderBy(F.desc("score"), "__q")
+    order = w.orderBy(F.desc("score"), "__q", *label)
     labelled = scored.withColumn("rank", F.row_number().over(order)).withColumn("best", F.max("score").over(w)).withColumn("next", F.lead("score").over(order))
-    verdicts = F.size(F.collect_set(F.when(F.col("score") >= F.col("best") - near, F.col("label"))).over(w)) if "label" in bank.columns else F.lit(1)
+    verdicts = F.size(F.collect_set(F.when(F.col("score") >= F.col("best") - near, F.col("label"))).over(w)) if label else F.lit(1)
     out = labelled.withColumn("unanimous", verdicts <= 1).where("rank = 1").withColumn("margin", F.col("score") - F.coalesce("next", F.lit(0.0)))
     keep = (F.col("margin") >= lead) | F.col("unanimous")
-    return out.where(keep).select(row, F.col("__q").alias(bank_question), "score", "margin", "unanimous", *(["label"] if "label" in bank.columns else []))
+    return out.where(keep).select(row, F.col("__q").alias(bank_question), "score", "margin", "unanimous", *label)
 
 
 def near_options(options: Column, answer: Column, least: float = 0.8) -> Column:
