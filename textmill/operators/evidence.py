@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions import text as X
-from textmill.operators.pairs import ordered_distinct
 
 # Cues in the passages' wording.
 BIRTH = "জন্ম|born"
@@ -65,19 +66,27 @@ def retrieval_terms(c: Column, stop: list[str] = ()) -> Column:
     return F.concat(t, X.word_ngrams(t, 2))
 
 
-def references(df: DataFrame, banks: list[DataFrame], key: str, answers: str, limit: int = 12) -> DataFrame:
-    """df with `references`: the answers of its key in all banks, distinct by canonical text, in bank order, at most `limit` shown."""
-    out = df
+def references(df: DataFrame, banks: list[DataFrame], key: str, answers: str, limit: int | None = 12) -> DataFrame:
+    """df with `references`: the answers of its key in all banks, distinct by canonical text, in bank order, at most `limit` shown; None: all.
+
+    Answers with one canonical text are merged as rows before a key's are gathered, so a key with many of them costs no comparison of pairs.
+    """
+    every = []
     for i, b in enumerate(banks):
-        out = out.join(b.groupBy(key).agg(F.flatten(F.collect_list(answers)).alias(f"__b{i}")), key, "left")
-    all_ = F.concat(*(F.coalesce(f"__b{i}", F.array().cast("array<string>")) for i in range(len(banks))))
-    return out.withColumn("references", ordered_distinct(all_, lambda v: F.lower(F.regexp_replace(v, "\\s+", "")), limit)).drop(*(f"__b{i}" for i in range(len(banks))))
+        rows = b.select(key, answers, F.monotonically_increasing_id().alias("__row"))
+        every.append(rows.select(key, F.lit(i).alias("__bank"), "__row", F.posexplode(answers).alias("__at", "__text")))
+    place = F.struct("__bank", "__row", "__at", "__text")
+    canonical = F.lower(F.regexp_replace("__text", "\\s+", "")).alias("__canonical")
+    firsts = reduce(DataFrame.unionByName, every).where(F.col("__text").isNotNull()).groupBy(key, canonical).agg(F.min(place).alias("__first"))
+    if limit:
+        nth = F.row_number().over(Window.partitionBy(key).orderBy("__first"))
+        firsts = firsts.withColumn("__nth", nth).where(F.col("__nth") <= limit)
+    shown = firsts.groupBy(key).agg(F.array_sort(F.collect_list("__first"))["__text"].alias("references"))
+    return df.join(shown, key, "left").withColumn("references", F.coalesce("references", F.array().cast("array<string>")))
 
 
 def domain_filtered(candidates: DataFrame, row: str, domain: str, hint: str) -> DataFrame:
     """Candidates of a row's hinted domain, or all of them if none has it or there is no hint."""
-    from pyspark.sql import Window
-
     same = (F.col(domain) == F.col(hint)).cast("int")
     any_ = F.max(F.coalesce(same, F.lit(0))).over(Window.partitionBy(row))
     return candidates.withColumn("__any", any_).where((F.col("__any") == 0) | (F.col(domain) == F.col(hint))).drop("__any")
