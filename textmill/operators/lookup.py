@@ -59,23 +59,27 @@ def needed_rows(bank: DataFrame, df: DataFrame, key: str) -> DataFrame:
 def similar_sets(own: DataFrame, theirs: DataFrame, block: str, mine: str, other: str, least: float) -> DataFrame:
     """(block, mine, other, score) of pairs of word sets with word Jaccard `least` in one block; the sets must be distinct arrays.
 
-    Two such sets have a word in common among their first ones, rarest first: all but so many as they must share, and one more. Pairs meet
-    on a word of these, at the first that both have, so none is compared twice.
+    Their sizes tell how many words two such sets share at least. So they have a word in common among their first ones, rarest first: all but
+    that many, and one more. Pairs meet under their sizes and such a word, at the first that both have, so none is compared twice.
     """
-    sizes = F.size(mine), F.size(other)
     score = S.jaccard(F.col(mine), F.col(other))
     if least <= 0:  # sets without a common word count, too
         return own.join(theirs, block).withColumn("score", score).where(F.col("score") >= least)
     counts = theirs.select(block, F.explode(other).alias("__w")).groupBy(block, "__w").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = F.col("__mine"), F.col("__other")
+    met = [block, "__mine", "__other", "__w"]
 
-    def first_words(sets: DataFrame, c: str, name: str) -> DataFrame:
+    def first_words(sets: DataFrame, c: str, size: str, partners: DataFrame, d: str, partner: str, name: str) -> DataFrame:
         at = sets.select(block, c, F.explode(c).alias("__w")).join(counts, [block, "__w"], "left")
         ranked = at.groupBy(block, c).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w")))).alias(name))
-        shared = F.ceil(least * F.size(c) - 1e-9).cast("int")
-        return ranked.withColumn(name, F.slice(F.col(name)["w"], F.lit(1), F.greatest(F.size(c) - shared + 1, F.lit(0)))).withColumn("__w", F.explode(name))
-
-    pairs = first_words(own, mine, "__a").join(first_words(theirs, other, "__b"), [block, "__w"])
-    pairs = pairs.where(F.least(*sizes) >= F.lit(least) * F.greatest(*sizes) - 1e-9).where(F.element_at(F.array_intersect("__a", "__b"), 1) == F.col("__w"))
+        of = ranked.withColumn(size, F.size(c)).join(partners.select(block, F.size(d).alias(partner)).distinct(), block)
+        of = of.where(F.least(*sizes) >= F.lit(least) * F.greatest(*sizes) - 1e-9)
+        shared = F.ceil(least / (1 + least) * (sizes[0] + sizes[1]) - 1e-9).cast("int")
+        length = F.greatest(F.col(size) - shared + 1, F.lit(0))  # Spark may cut before it filters
+        return of.withColumn(name, F.slice(F.col(name)["w"], F.lit(1), length)).withColumn("__w", F.explode(name))
+
+    pairs = first_words(own, mine, "__mine", theirs, other, "__other", "__a").join(first_words(theirs, other, "__other", own, mine, "__mine", "__b"), met)
+    pairs = pairs.where(F.element_at(F.array_intersect("__a", "__b"), 1) == F.col("__w"))
     return pairs.select(block, mine, other, score.alias("score")).where(F.col("score") >= least)
 
 
